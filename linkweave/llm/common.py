@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkweave-"))
         base = sc.getCheckpointDir()
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = f"file://{base[5:]}"
     return base.rstrip("/")
 
 
