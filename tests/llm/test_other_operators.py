@@ -61,7 +61,7 @@ def test_salvage_recovers_later_records_and_logs_gaps(compress):
         hit = rng.randrange(12)
         at = starts[hit] + len(records[hit]) // 2
         kind = rng.choice(["flip", "cut", "junk"])
-        bad = {"flip": whole[:at] + bytes([whole[at] ^ 0x55]) + whole[at + 1 :], "cut": whole[:at] + whole[at + 5 :], "junk": whole[: starts[hit]] + b"\x1f\x8b\x08WARC/1.1\r\n junk" + whole[starts[hit] :]}[kind]
+        bad = {"flip": whole[:at] + bytes([whole[at] ^ 0x55]) + whole[at + 1 :], "cut": whole[:at] + whole[at + 5 :], "junk": whole[: starts[hit]] + b"\x1f\x8b\x08WARC/1.1 junk" + whole[starts[hit] :]}[kind]
         got, gaps = read(bad)
         lost = set() if kind == "junk" else {hit}
         assert lost >= set(range(12)) - set(got)
