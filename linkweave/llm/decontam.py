@@ -97,7 +97,7 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     met = sketches.join(probe(probes.select("h").distinct()), "h", "left_semi").select("id", "key").distinct()
     candidates = written(met, "candidates")
 
-    source = columns.withColumn("__id", F.col("doc_id").cast("long")).join(candidates.select("id").distinct(), F.col("__id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", text)
+    source = columns.withColumn("__id", F.col("doc_id").cast("long")).join(candidates.select("id").distinct().hint("merge"), F.col("__id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", text)
     full = _mapped(source, text, width, lambda h: (h.view(np.int64),), "h long")
     full = full.join(probe(probes.select("h", "item_id", F.col("key").alias("item_key"), "n_item")), "h")
     # Rows that repeat a document repeat its shingles.
@@ -111,7 +111,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CO
     """``docs`` without the documents that contain an item; same columns."""
     ids = contained_items(docs, items, containment, width, text).select(F.col("doc_id").alias("__id")).distinct()
     ids = written(ids, "contaminated")
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    return docs.join(ids.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
 
 
 def op10_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

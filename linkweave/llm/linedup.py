@@ -51,7 +51,7 @@ def _with_hits(docs: DataFrame, min_sites: int, text: str, site: str) -> DataFra
     at = docs.select(F.col("doc_id").alias("__doc"), row_key(filled(text)).alias("__key"), F.posexplode(_lines(filled(text))).alias("pos", "line"))
     hits = at.where(F.col("line").rlike(WORD)).select("__doc", "__key", "pos", *_keyed()).join(spread, ["h", "g"])
     hits = hits.groupBy("__doc", "__key").agg(F.collect_set("pos").alias("__hits"))
-    joined = docs.withColumn("__text_key", row_key(filled(text))).join(hits, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
+    joined = docs.withColumn("__text_key", row_key(filled(text))).join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
     lines = joined.withColumn("__lines", _lines(filled(text))).withColumn("__hits", F.coalesce("__hits", F.array().cast("array<int>")))
     left = F.filter("__lines", lambda x, i: ~F.array_contains("__hits", i))
     lines = lines.withColumn("__left", F.when(F.size("__hits") == 0, F.col("__lines")).otherwise(left))

@@ -324,7 +324,7 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
 
     in_play = members.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).cast("binary").alias("data"), row_same(text).alias("tie"))
-    texts = texts.join(in_play.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    texts = texts.join(in_play.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
     texts = written(texts.groupBy("doc_id").agg(F.min_by("data", "tie").alias("data")), "candidate-texts")
 
     edges = written(_similar(pairs, texts, width, similarity), "verified")
@@ -365,6 +365,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """
     kept = near_duplicate_components(docs, width, similarity, text).where("doc_id = component_id").select("doc_id")
     once = Window.partitionBy("doc_id").orderBy(F.col("__tie"))
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("__tie", row_same(text))
+    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__tie", row_same(text))
     rows = rows.withColumn("__rank", F.row_number().over(once)).where("__rank = 1").select(*docs.columns)
     return rows.unionByName(docs.where("doc_id is null"))

@@ -65,7 +65,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     large = rows.where(F.octet_length("payload") >= MIN_REVISIT)
     groups = large.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     groups = written(groups.where("n > 1 and first is not null").select("payload_digest", "first"), "payload-groups")
-    joined = rows.join(groups, "payload_digest", "left")
+    joined = rows.join(groups.hint("merge"), "payload_digest", "left")
     # Equal payloads are equal digests; small ones have no group.
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
