@@ -13,6 +13,8 @@ from .common import WORD, filled
 BUCKETS = 4096
 #: A document whose mean log ratio for each n-gram lies below is rejected.
 THRESHOLD = -0.15
+#: Target documents the target multinomial is fitted on, at most: those whose ids hash lowest. Bounds what is broadcast.
+MAX_TRUSTED = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 _SPACE = "\t\n\x0b\f\r "
@@ -65,11 +67,12 @@ def grams(text: Column, buckets: int = BUCKETS) -> Column:
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text: str = "text") -> list[float]:
     """log(p_target / p_raw) of each bucket, add-one smoothed.
 
-    ``trusted`` (doc_id) names the target documents. Counts of all documents are summed
-    into at most ``buckets`` rows before they leave a task.
+    ``trusted`` (doc_id) names the target documents; MAX_TRUSTED of them are fitted on, chosen by
+    a hash of their ids, and broadcast, so that no text moves. The raw counts are those of all
+    documents, summed into at most ``buckets`` rows before they leave a task.
     """
-    marks = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("__target", F.lit(1))
-    rows = docs.select("doc_id", filled(text).alias("__text")).join(marks, "doc_id", "left")
+    marks = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED)
+    rows = docs.select("doc_id", filled(text).alias("__text")).join(F.broadcast(marks.withColumn("__target", F.lit(1))), "doc_id", "left")
     each = rows.select(F.coalesce("__target", F.lit(0)).alias("target"), F.explode(grams(F.col("__text"), buckets)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     raw, target = [1] * buckets, [1] * buckets
