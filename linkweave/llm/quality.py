@@ -31,12 +31,13 @@ def _repeat_words(words: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more.
 
     Windows are told apart by a 64-bit hash first; only texts with equal hashes compare
-    the windows themselves, by sorting them next to their equals.
+    the windows themselves, by sorting them, hash first, next to their equals.
     """
     at = lambda w: F.sequence(F.lit(1), F.size(w) - 2)
-    hashes = lambda w: F.transform(at(w), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
-    windows = lambda w: F.array_sort(F.transform(at(w), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, 3)).alias("w"), i.alias("i"))))
-    neighbours = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), lambda x, y: F.when(x["w"] == y["w"], F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")))
+    hash_at = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
+    hashes = lambda w: F.transform(at(w), lambda i: hash_at(w, i))
+    windows = lambda w: F.sort_array(F.transform(at(w), lambda i: F.struct(hash_at(w, i).alias("h"), F.concat_ws(" ", F.slice(w, i, 3)).alias("w"), i.alias("i"))))
+    neighbours = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), lambda x, y: F.when((x["h"] == y["h"]) & (x["w"] == y["w"]), F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")))
     starts = lambda w: F.array_distinct(F.flatten(_let(windows(w), neighbours)))
     covered = lambda w: F.size(F.array_distinct(F.flatten(F.transform(starts(w), lambda i: F.array(i, i + 1, i + 2)))))
     return _let(words, lambda w: F.when(F.size(w) < 4, 0).when(F.size(F.array_distinct(hashes(w))) == F.size(w) - 2, 0).otherwise(covered(w)))
@@ -46,11 +47,11 @@ def base_columns(text: Column) -> dict[str, Column]:
     """The counts of the base rules over a whole text (null: empty)."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     n = F.size(words)
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.translate(line, _SPACE, "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda line: F.ltrim(line, F.lit(_SPACE)) != "")
     return {
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate(text, _SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _repeat_words(words).cast("long"),
     }
