@@ -242,6 +242,8 @@ def op1_simhash_near_dedup(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- near-duplicate stage
 
 BANDS, ROWS = 20, 6
+#: Texts in a bucket beyond which they meet through their rarest shingles instead.
+CROWD = 32
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -259,21 +261,22 @@ def _bands(h: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, text: str) -> DataFrame:
-    """(doc_id, same, fp, bands); ``same`` is equal for texts with the same words."""
+    """(doc_id, same, fp, size, bands); ``same`` is equal for texts with the same words, ``size`` counts distinct shingles."""
     import xxhash
 
     def one(data):
         words = words_of(data)
-        h = shingle_hashes(words, width)
-        return xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(data, width), _bands(np.unique(h)).view(np.int64).tolist() if len(h) else []
+        h = np.unique(shingle_hashes(words, width))
+        return xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(data, width), len(h), _bands(h).view(np.int64).tolist() if len(h) else []
 
     def run(batches):
         for batch in batches:
-            same, fps, bands = zip(*map(one, batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "bands"])
+            same, fps, sizes, bands = zip(*map(one, batch.column(1).to_pylist())) if batch.num_rows else ((), (), (), ())
+            arrays = [batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "same", "fp", "size", "bands"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).cast("binary").alias("data"))
-    return source.mapInArrow(run, "doc_id long, same binary, fp long, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, same binary, fp long, size long, bands array<long>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -297,60 +300,98 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _rare_shingles(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(node, size, band, key): the rarest shingles of each text, as many as exceed 1 - ``least`` of them.
+
+    Two texts of Jaccard similarity ``least`` share one of these, whatever the order, as long
+    as it is the same for all texts. Rare shingles come first here, so that a passage
+    common to many texts brings none of them together.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.unique(shingle_hashes(words_of(data), width)).view(np.int64)
+                for lo in range(0, len(h), _BLOCK):
+                    part = pa.array(h[lo : lo + _BLOCK])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(h))), part], ["node", "size", "key"])
+
+    rows = written(texts.select("doc_id", "data").mapInArrow(run, "node long, size long, key long"), "shingles")
+    # A shingle of one text alone brings nothing together, but takes a place among the rarest.
+    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    order = Window.partitionBy("node").orderBy("n", "key")
+    first = counted.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1)
+    return first.where("n > 1").select("node", "size", F.lit(-1).alias("band"), "key")
+
+
 def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(doc_id, component_id) for each distinct doc_id, over links of Jaccard ``similarity``.
 
     Texts with the same words collapse first. Candidates come from the Gray-ordered index
     over SimHash fingerprints and, because a 64-bit SimHash spreads such pairs over about 16
     bits, from 20 bands of 6 min-hashes (0.998 of the pairs at 0.8 meet). Every candidate
-    is verified on the full shingle sets. Within a band's bucket, members are held against
-    one hub (the member that meets the most others), then against 1, 2, 4, ... further hubs
+    is verified on the full shingle sets. Texts of a bucket of more than CROWD members, where a
+    common passage may have brought together what is not alike, meet through their rarest
+    shingles instead, which is exact. Within a bucket, members are held against
+    one hub (the member that meets the most others), then against up to 32, 1024, ... further hubs
     until all members are in one component or have been compared: large groups of copies
-    cost a comparison for each member and no pair is left out. Rows with a null doc_id are
-    left out here.
+    cost a comparison for each member and no pair is left out, but those whose sizes rule
+    the similarity out. Rows with a null doc_id are left out here.
     """
     known = docs.where("doc_id is not null")
     signed = written(_signatures(known, width, text), "signatures")
-    kinds = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("bands", "doc_id").alias("bands")), "texts")
-    equal = signed.join(kinds.select("same", "node"), "same").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-
-    buckets = kinds.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = written(buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = buckets.join(sizes, ["band", "key"])
-    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = written(members.drop("n").join(weight, "node").withColumn("component", F.col("node")), "members")
+    kinds = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("fp", "size", "bands")]), "texts")
+    owned = written(signed.select("doc_id", "same").join(kinds.select("same", "node"), "same").select("doc_id", "node"), "owned")
+
+    buckets = kinds.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(buckets.join(sizes, ["band", "key"]), "members")
     index = hamming_links(kinds.groupBy("fp").agg(F.min("node").alias("id")))
-    pairs = index.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(index.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
 
-    in_play = members.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    in_play = members.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).cast("binary").alias("data"), row_same(text).alias("tie"))
     texts = texts.join(in_play.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
     texts = written(texts.groupBy("doc_id").agg(F.min_by("data", "tie").alias("data")), "candidate-texts")
 
-    edges = written(_similar(pairs, texts, width, similarity), "verified")
-    tried = written(pairs, "tried")
-    hubs, rounds = 1, 0
+    crowded = members.where(F.col("n") > CROWD).select(F.col("node").alias("doc_id")).distinct()
+    rare = _rare_shingles(texts.join(crowded, "doc_id", "left_semi"), width, similarity)
+    members = members.where(F.col("n") <= CROWD).select("node", "size", "band", "key").unionByName(rare)
+    weight = members.groupBy("node").agg(F.count("*").alias("weight"))
+    members = written(members.join(weight, "node").withColumn("component", F.col("node")), "members")
+
+    # An id with several texts ties them together.
+    several = owned.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    edges = owned.join(several, "doc_id").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+    edges = edges.unionByName(written(_similar(pairs, texts, width, similarity), "verified"))
+    labels, tried, hubs, changed = None, pairs, 1, False
     while True:
-        labels = written(connected_components(edges), "labels")
-        members = members.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        members = members.select("band", "key", "node", "weight", "component")
-        mixed = members.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-        members = written(members.join(mixed, ["band", "key"], "left_semi"), "members")
+        if changed:
+            labels = written(connected_components(edges), "labels")
+            members = members.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            members = members.select("band", "key", "node", "size", "weight", "component")
+        if hubs > 1:
+            mixed = members.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+            members = written(members.join(mixed, ["band", "key"], "left_semi"), "members")
         if not members.take(1):
             break
         part = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        chosen = members.groupBy("band", "key", part.alias("part")).agg(F.max_by(F.struct("node", "component"), F.struct("weight", -F.col("node"))).alias("hub"))
-        chosen = written(chosen.select("band", "key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of")), "hubs")
-        met = members.join(chosen, ["band", "key"]).where("component <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        chosen = members.groupBy("band", "key", part.alias("part")).agg(F.max_by(F.struct("node", "component", "size"), F.struct("weight", -F.col("node"))).alias("hub"))
+        chosen = written(chosen.select("band", "key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of"), F.col("hub.size").alias("hub_size")), "hubs")
+        met = members.join(chosen, ["band", "key"]).where("component <> of").where(F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - 1e-6)
+        met = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = written(met.join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionByName(pairs)
-        edges = edges.unionByName(written(_similar(pairs, texts, width, similarity), "verified"))
+        links = written(_similar(pairs, texts, width, similarity), "verified")
+        changed = labels is None or bool(links.take(1))
+        stars = edges if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        edges = stars.unionByName(links)
         members = members.join(chosen.select("band", "key", F.col("hub").alias("node")), ["band", "key", "node"], "left_anti")
-        rounds += 1
-        hubs = max(1, 2 ** (rounds - 1))
-    final = connected_components(edges.unionByName(equal))
-    ids = signed.select("doc_id").distinct()
-    return ids.join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+        hubs *= 32
+    if labels is None:
+        labels = connected_components(edges)
+    found = owned.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def row_same(text: str) -> Column:
