@@ -11,7 +11,7 @@ from .common import WORD, filled, row_key, written
 MIN_SITES = 5
 #: Sketch size (2^12 registers, standard error 1.6 %) and the band around MIN_SITES that is counted exactly.
 LG_K, MARGIN = 12, 0.2
-#: A document with a larger share of its words in such lines is a copy, not a page with boilerplate.
+#: op5, as its SQL, leaves a document with a larger share of its words in such lines whole. drop_boilerplate_lines doesn't.
 MAX_SHARE = 0.5
 
 
@@ -45,34 +45,53 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text"
     return written(sure.unionByName(exact.where(F.col("n_sites") >= min_sites)), "boilerplate")
 
 
-def _with_hits(docs: DataFrame, min_sites: int, text: str, site: str) -> DataFrame:
-    """``docs`` with __lines (all lines) and __left (those that stay)."""
+def _copied(docs: DataFrame, text: str) -> DataFrame:
+    """(__key, __other): hashes of the whole texts that stand under two doc_ids or more; null is one doc_id."""
+    texts = docs.select("doc_id", row_key(filled(text)).alias("__key"), F.xxhash64(F.lit(7), filled(text)).alias("__other"))
+    found = texts.groupBy("__key", "__other").agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    return written(found.where((F.col("lo") < F.col("hi")) | (F.col("ids").between(1, F.col("n") - 1))).select("__key", "__other"), "copied")
+
+
+def _words_in(lines: str) -> Column:
+    return F.regexp_count(F.array_join(lines, "\n"), F.lit(WORD))
+
+
+def _with_hits(docs: DataFrame, min_sites: int, text: str, site: str, copies: bool = False) -> DataFrame:
+    """``docs`` with __lines (all lines), __hits (places of boilerplate) and __left (the other lines); with ``copies``, __copied too."""
     spread = spread_lines(docs, min_sites, text, site).select("h", "g")
-    at = docs.select(F.col("doc_id").alias("__doc"), row_key(filled(text)).alias("__key"), F.posexplode(_lines(filled(text))).alias("pos", "line"))
-    hits = at.where(F.col("line").rlike(WORD)).select("__doc", "__key", "pos", *_keyed()).join(spread, ["h", "g"])
-    hits = hits.groupBy("__doc", "__key").agg(F.collect_set("pos").alias("__hits"))
+    at = docs.select(F.col("doc_id").alias("__doc"), row_key(filled(text)).alias("__key"), F.xxhash64(F.lit(7), filled(text)).alias("__other"), F.posexplode(_lines(filled(text))).alias("pos", "line"))
+    hits = at.where(F.col("line").rlike(WORD)).select("__doc", "__key", "__other", "pos", *_keyed()).join(spread, ["h", "g"])
+    hits = hits.groupBy("__doc", "__key").agg(F.min("__other").alias("__other"), F.collect_set("pos").alias("__hits"))
+    if copies:
+        hits = hits.join(_copied(docs, text).withColumn("__copied", F.lit(True)), ["__key", "__other"], "left")
     joined = docs.withColumn("__text_key", row_key(filled(text))).join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
     lines = joined.withColumn("__lines", _lines(filled(text))).withColumn("__hits", F.coalesce("__hits", F.array().cast("array<int>")))
     left = F.filter("__lines", lambda x, i: ~F.array_contains("__hits", i))
-    lines = lines.withColumn("__left", F.when(F.size("__hits") == 0, F.col("__lines")).otherwise(left))
-    words = lambda c: F.regexp_count(F.array_join(c, "\n"), F.lit(WORD))
-    share = F.when(F.size("__hits") == 0, F.lit(True)).otherwise(words("__left") >= (1 - MAX_SHARE) * words("__lines"))
-    return lines.withColumn("__left", F.when(share, F.col("__left")).otherwise(F.col("__lines")))
+    return lines.withColumn("__left", F.when(F.size("__hits") == 0, F.col("__lines")).otherwise(left))
+
+
+def _unless(whole: Column) -> Column:
+    """The lines that stay: all of them if there is no boilerplate or the document is left ``whole``."""
+    return F.when(F.size("__hits") == 0, F.col("__lines")).when(whole, F.col("__lines")).otherwise(F.col("__left"))
 
 
 def drop_boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source") -> DataFrame:
     """``docs`` with their cross-site boilerplate lines taken out of the text; no row goes.
 
-    A document with more than MAX_SHARE of its words in such lines is left whole: it is a
-    copy of a page, which near-duplicate removal decides on. A null text stays null, an
-    empty one empty. Rows that repeat a document are treated alike.
+    Only known copies are left whole, which near-duplicate removal decides on: a document
+    all of whose words stand in such lines, and one with most of them there whose whole text
+    is also that of another document. A null text stays null, an empty one empty. Rows that
+    repeat a document are treated alike.
     """
-    found = _with_hits(docs, min_sites, text, site)
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("__left", "\n"))).select(*docs.columns)
+    found = _with_hits(docs, min_sites, text, site, copies=True)
+    copied = F.col("__copied").isNotNull() & (2 * _words_in("__left") < _words_in("__lines"))
+    left = _unless((_words_in("__left") == 0) | copied)
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(left, "\n"))).select(*docs.columns)
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
     found = _with_hits(docs, MIN_SITES, "text", "source")
+    found = found.withColumn("__left", _unless(_words_in("__left") < (1 - MAX_SHARE) * _words_in("__lines")))
     return found.select(
         "doc_id",
         F.size("__lines").cast("long").alias("n_lines"),

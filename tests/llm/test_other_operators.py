@@ -97,6 +97,15 @@ def test_boilerplate_lines_go_and_copies_stay(spark):
     assert linedup.op5_line_dedup(docs.limit(0)).count() == 0
 
 
+def test_pages_mostly_of_boilerplate_lose_it(spark):
+    nav = "home news shop about contact help\nall rights reserved by the site"
+    rows = [(i, f"{nav}\nown {i}", f"s{i}") for i in range(6)] + [(10, f"{nav}\nsame page", "s1"), (11, f"{nav}\nsame page", "s2"), (12, f"{nav}\n", "s3"), (13, f"{nav}\ntwice told", "s4"), (13, f"{nav}\ntwice told", "s4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in linedup.drop_boilerplate_lines(docs).collect()}
+    # Exact copies and pages of nothing else stay; rows that repeat a document are no copies.
+    assert got == {i: t if i in (10, 11, 12) else t.removeprefix(f"{nav}\n") for i, t, _ in rows}
+
+
 def test_mix_reaches_targets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a"] * 20 + ["b"] * 5 + ["c", None])) for i in range(3000)] + [(None, None, "d"), (None, "", "d")]
