@@ -16,8 +16,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What looks like an identifier of some kind: a run that starts with a digit and ends with a letter or digit.
-CANDIDATE = r"[0-9][0-9A-Za-z@._%()/:+-]{4,}[0-9A-Za-z]"
+_TOKEN = r"[\p{L}\p{N}@._%()/:+\[\]-]*"
+#: A token with a digit, from a letter or digit to a letter or digit; a label and its colon before it are left out.
+_NUMBERED = rf"(?!\p{{L}}++:)(?=[\p{{L}}@._%()/:+\[\]-]*+\p{{N}})[\p{{L}}\p{{N}}](?:{_TOKEN}[\p{{L}}\p{{N}}])?"
+#: A token without digits but with a mark inside, such as jane.doe[at]host.
+_MARKED = rf"(?!\p{{L}}++:)\p{{L}}++[@._%()/:+\[\]-]++\p{{L}}(?:{_TOKEN}[\p{{L}}\p{{N}}])?"
+_AREA = r"(?:\(\p{N}++\)\x20?)?+"
+#: What may be an identifier of some kind, whatever it starts with: up to nine numbered tokens in a row, or a marked token.
+CANDIDATE = rf"(?<![\p{{L}}\p{{N}}])(?:\+?{_AREA}{_NUMBERED}(?:\x20{_AREA}{_NUMBERED}){{0,8}}|{_MARKED})"
+#: The same without runs, for a run that a base span takes a part of.
+SINGLE = rf"(?<![\p{{L}}\p{{N}}])(?:{_NUMBERED}|{_MARKED})"
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _AROUND = 64
 _SPANS = "array<struct<s:int,e:int,m:string,left:string,right:string>>"
@@ -32,22 +40,26 @@ def found_spans(text: Column, pattern: str, valid=lambda m: F.lit(True)) -> Colu
     with many matches doesn't copy all of them for each one.
     """
     between = F.split(text, pattern, -1)
-    pieces = F.arrays_zip(between.alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(between, 2, 1 << 30).alias("b"))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.arrays_zip(between.alias("a"), matches.alias("m"), F.slice(between, 2, 1 << 30).alias("b"), F.slice(matches, 2, 1 << 30).alias("n"))
     none = F.array().cast(_SPANS)
 
     def step(acc, x):
         start = acc["at"] + F.length(x["a"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), F.right(x["a"], F.lit(_AROUND)).alias("left"), F.left(x["b"], F.lit(_AROUND)).alias("right"))
+        before = F.right(F.concat(acc["before"], x["a"]), F.lit(_AROUND))
+        after = F.left(F.concat(x["b"], F.coalesce(x["n"], F.lit(""))), F.lit(_AROUND))
+        span = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), before.alias("left"), after.alias("right"))
         full = F.size(acc["block"]) >= 128
         block = F.when(full, none).otherwise(acc["block"])
         return F.struct(
             end.alias("at"),
+            F.right(F.concat(before, x["m"]), F.lit(_AROUND)).alias("before"),
             F.when(valid(x["m"]), F.concat(block, F.array(span))).otherwise(block).alias("block"),
             F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("block"), F.array().cast(f"array<{_SPANS}>").alias("blocks"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("block"), F.array().cast(f"array<{_SPANS}>").alias("blocks"))
     found = F.aggregate(F.filter(pieces, lambda x: x["m"].isNotNull()), start, step, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
     # Texts without a match, most of them, aren't split.
     return F.when(text.rlike(pattern), found).otherwise(none)
@@ -92,11 +104,18 @@ def _of_kind(spans: str | Column, kind: Column, *fields: str) -> Column:
 
 
 def _instances(base: DataFrame) -> DataFrame:
-    """One row for each span that is or may be an identifier: doc_id, key, kind (null: unknown), s, e, value, patterns."""
+    """One row for each span that is or may be an identifier: doc_id, key, kind (null: unknown), s, e, value, patterns.
+
+    A candidate that overlaps a base span gives way to it; the other tokens of its run are candidates by themselves.
+    """
     known = F.concat(*[_of_kind(k, F.lit(i), "s", "e", "m", "left", "right") for i, k in enumerate(KINDS)])
-    overlaps = lambda x: F.exists(known, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
-    others = _of_kind(F.filter("candidates", lambda x: ~overlaps(x)), F.lit(None).cast("int"), "s", "e", "m", "left", "right")
-    rows = base.select("doc_id", "key", F.inline(F.concat(known, others)).alias("kind", "s", "e", "value", "left", "right"))
+    overlaps = lambda x, of: F.exists(of, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
+    base = base.select("*", known.alias("known"))
+    base = base.select("*", F.filter("candidates", lambda x: overlaps(x, F.col("known"))).alias("broken"))
+    free = F.filter("candidates", lambda x: ~overlaps(x, F.col("known")))
+    parts = F.filter("singles", lambda x: overlaps(x, F.col("broken")) & ~overlaps(x, F.col("known")))
+    others = _of_kind(F.concat(free, parts), F.lit(None).cast("int"), "s", "e", "m", "left", "right")
+    rows = base.select("doc_id", "key", F.inline(F.concat("known", others)).alias("kind", "s", "e", "value", "left", "right"))
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
     before, after = word("left", r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$"), word("right", r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)")
     two = word("left", r"([\p{L}\p{N}]+[^\p{L}\p{N}]+[\p{L}\p{N}]+)[^\p{L}\p{N}]*$")
@@ -140,7 +159,9 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     body = filled(text)
     rows = docs.select("doc_id", row_key(body).alias("key"), body.alias("__text"))
     text_col = F.col("__text")
-    base = written(rows.select("doc_id", "key", *[base_spans(text_col, k).alias(k) for k in KINDS], found_spans(text_col, CANDIDATE).alias("candidates")), "pii-base")
+    found = rows.select("doc_id", "key", "__text", *[base_spans(text_col, k).alias(k) for k in KINDS])
+    single = F.when(F.greatest(*[F.size(k) for k in KINDS]) > 0, found_spans(text_col, SINGLE)).otherwise(F.array().cast(_SPANS))
+    base = written(found.select("doc_id", "key", *KINDS, found_spans(text_col, CANDIDATE).alias("candidates"), single.alias("singles")), "pii-base")
     instances = written(_instances(base), "instances")
     confident = score_graph(instances)
     unseen = instances.where("kind is null").select("doc_id", "key", "s", "e", F.explode("patterns").alias("pattern")).join(confident, "pattern")

@@ -53,6 +53,18 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[9] == "" and got[10] == ""
 
 
+def test_unseen_identifiers_of_any_form(spark):
+    unseen = ["AB123456", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "jane.doe[at]host", "0170 1234567", "(555) 123-4567", "é-77", "77-8842-AX", "7"]
+    texts = [f"please bill to account {'abcdefgh'[i % 8] * (1 + i // 8)}@pay{i}.example.org today" for i in range(60)]
+    texts += [f"please bill to account {x} today" for x in unseen] + ["account id:AB123456 4@b.c 99", "bill to account holders", "see AB123456 there"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in op2_pii(docs).collect()}
+    for i, x in enumerate(unseen):
+        at = texts[60 + i].index(x)
+        assert got[60 + i] == f"email:{at}:{at + len(x)}", x
+    assert got[69].startswith("email:20:25") and got[70] == "" and got[71] == ""
+
+
 def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (None, "a@b.c")], "doc_id long, text string")
     assert [r.spans for r in op2_pii(docs).collect()] == ["email:0:5"] * 3
