@@ -22,7 +22,7 @@ MIN_REVISIT = 100
 ROLL_AT = 64 << 20
 _CHUNK = 1 << 20
 #: A record's header block, and a whole record, may not be larger; beyond, it is damage.
-MAX_HEADER, MAX_RECORD = 1 << 16, 1 << 30
+MAX_RECORD = 1 << 30
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -148,12 +148,14 @@ def _plain_record(data: bytes | bytearray, source: _Source | None = None):
     """(fields, block, size) of the record at the start, or a reason. With ``source``, data is read as needed."""
     need = lambda n: source.fill(n) if source else len(data) >= n
     look = source.data if source else data
-    end = look.find(b"\r\n\r\n", 0, MAX_HEADER)
-    while end < 0 and source and not source.done and len(look) < MAX_HEADER:
-        source.fill(len(look) + 1)
-        end = look.find(b"\r\n\r\n", 0, MAX_HEADER)
+    need(10)
     if not _VERSION.match(look):
         return "no version line"
+    end = look.find(b"\r\n\r\n", 0, MAX_RECORD)
+    while end < 0 and source and not source.done and len(look) < MAX_RECORD:
+        seen = len(look)
+        source.fill(seen + 1)
+        end = look.find(b"\r\n\r\n", max(0, seen - 3), MAX_RECORD)
     if end < 0:
         return "header has no end"
     fields = _parse_head(bytes(look[:end]))
@@ -279,8 +281,11 @@ def op4_warc(pages: DataFrame) -> DataFrame:
     spark: SparkSession = pages.sparkSession
     path = new_path(spark, "warc")
     files = write_archives(plan_records(pages), path)
-    back = read_archives(files, path, payloads=False)
-    return back.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = written(read_archives(files, path, payloads=False).where("kind = 'record'"), "records")
+    planned, found = files.agg(F.sum("records")).first()[0] or 0, back.count()
+    if planned != found:
+        raise RuntimeError(f"{planned} records were written to {path}, {found} could be read back")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = f"""

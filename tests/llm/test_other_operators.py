@@ -42,6 +42,18 @@ def test_archives_round_trip_and_refer(spark):
     assert warc.op4_warc(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_headers_of_any_length_are_read(compress):
+    records = [warc._record(i, u, b"page", hashlib.sha256(b"page").hexdigest(), "response", None) for i, u in enumerate(["u" * 70_000, " " * 900_000, "v"])]
+    out = list(warc.salvage(io.BytesIO(b"".join(map(gzip.compress, records) if compress else records))))
+    assert [(f[0], f[2]["x-page-id"], len(f[2]["warc-target-uri"])) for f in out] == [("record", "0", 70_000), ("record", "1", 2_700_000), ("record", "2", 1)]
+
+
+def test_a_page_with_a_long_url_has_its_row(spark):
+    pages = spark.createDataFrame([(1, "u" * 70_000, "x"), (2, "v", None)], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.op4_warc(pages).collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_salvage_recovers_later_records_and_logs_gaps(compress):
     rng = random.Random(11)
