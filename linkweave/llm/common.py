@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -17,14 +18,17 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session in one JVM (local[...]) gets a folder in its warehouse, which
+    its only executor sees; on a cluster it is an error, as no local folder can serve there.
+    """
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkweave-"))
-        base = sc.getCheckpointDir()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     if base.startswith("file:/") and not base.startswith("file://"):
         base = f"file://{base[5:]}"
     return base.rstrip("/")
@@ -34,14 +38,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/linkweave/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+_scratch: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written in this block are deleted at its end, but those written with ``keep``."""
+    made: list[tuple[SparkSession, str]] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch[:] = [x for x in _scratch if x is not made]
+        for spark, path in made:
+            remove(spark, path)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: the rows survive the loss of any executor, and each consumer
-    starts from a table whose size the planner knows.
+    starts from a table whose size the planner knows. With ``keep``, the table outlives the
+    innermost :func:`scratch` block and belongs to the next one, if any.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _scratch[: len(_scratch) - keep]:
+        _scratch[-1 - keep].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import filled, shingle_hashes, words_of, written
+from .common import filled, row_key, scratch, shingle_hashes, words_of, written
 from .components import connected_components
 
 BITS, LIMIT = 64, 2
@@ -51,17 +52,17 @@ def _lower_masks(upper: int) -> list[int]:
 LOWER = [_lower_masks(m) for m in UPPER]
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero without any."""
+    ones = np.zeros(BITS, np.int64)
+    for lo in range(0, len(h), _BLOCK):
+        ones += np.unpackbits(h[lo : lo + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]) if len(h) else 0
+
+
 def fingerprint(data: bytes | None, width: int = 3) -> int:
     """Majority bits over the XXH64 of all word shingles, repeats included; zero without words."""
-    words = words_of(data)
-    if not words:
-        return 0
-    total = max(1, len(words) - width + 1)
-    ones = np.zeros(BITS, np.int64)
-    for lo in range(0, total, _BLOCK):
-        h = shingle_hashes(words, width, lo, lo + _BLOCK)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
+    return majority(shingle_hashes(words_of(data), width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFrame:
@@ -72,8 +73,8 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFra
             values = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).cast("binary").alias("data"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select("doc_id", filled(text).cast("binary").alias("data"))
+    return source.mapInArrow(run, StructType([source.schema["doc_id"], StructField("fp", LongType())]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -137,17 +138,17 @@ def _roots(size: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = No
             return root
 
 
-def _link_node(fps: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _link_node(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star for each component among the members of one upper node."""
     index, root = GrayIndex(fps), None
     for lo in range(0, len(fps), 1024):
         q, member = index.search(fps[lo : lo + 1024], limit)
         root = _roots(len(fps), q + lo, member, root)
     loose = root != np.arange(len(fps))
-    return ids[loose], ids[root[loose]]
+    return fps[loose], fps[root[loose]]
 
 
-def _link_run(node: np.ndarray, fps: np.ndarray, ids: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _link_run(node: np.ndarray, fps: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of whole nodes: those of one leaf are compared side by side, larger ones searched."""
     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
     sizes = np.diff(np.r_[starts, len(node)])
@@ -156,9 +157,9 @@ def _link_run(node: np.ndarray, fps: np.ndarray, ids: np.ndarray, limit: int) ->
     for step in range(1, min(FAN, len(node))):
         hit = np.flatnonzero(small[step:] & (node[step:] == node[:-step]))
         hit = hit[_ones(fps[hit] ^ fps[hit + step]) <= limit]
-        out.append((ids[hit], ids[hit + step]))
+        out.append((fps[hit], fps[hit + step]))
     for s, n in zip(starts[sizes > FAN], sizes[sizes > FAN]):
-        out.append(_link_node(fps[s : s + n], ids[s : s + n], limit))
+        out.append(_link_node(fps[s : s + n], limit))
     return out
 
 
@@ -168,7 +169,7 @@ def _searcher(limit: int):
     def run(batches):
         held: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             if not len(cols[0]):
@@ -183,9 +184,9 @@ def _searcher(limit: int):
 
     def emit(cols):
         change = np.r_[False, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
-        for a, b in _link_run(np.cumsum(change), cols[2].view(np.uint64), cols[3], limit):
+        for a, b in _link_run(np.cumsum(change), cols[2].view(np.uint64), limit):
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return run
 
@@ -195,21 +196,21 @@ def _under(masks: list[int], first: int = 0) -> Column:
 
 
 def hamming_links(unique: DataFrame) -> DataFrame:
-    """Edges (a, b) that span the graph of fingerprints within two bits.
+    """Edges (a, b) between fingerprints that span their graph within two bits.
 
-    ``unique``: (fp, id) with one row for each fingerprint. A node with more members than
+    ``unique``: (fp), each fingerprint once. A node with more members than
     SPLIT_ABOVE is split under six finer masks of 48 bits, which leaves 16 free bits: no
     task ever holds more than 65,536 members of a node, whatever the input. A node gives
     a spanning star of each component and never its pairs.
     """
-    rows = unique.select(F.inline(F.transform(_under(UPPER), lambda x: F.struct(x["node"], x["pattern"], F.col("fp"), F.col("id")))).alias("node", "pattern", "fp", "id"))
+    rows = unique.select(F.inline(F.transform(_under(UPPER), lambda x: F.struct(x["node"], x["pattern"], F.col("fp")))).alias("node", "pattern", "fp"))
     sizes = written(rows.groupBy("node", "pattern").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
     members = rows.join(sizes, ["node", "pattern"])
     fine = F.lit(None)
     for i, masks in enumerate(LOWER):
         fine = F.when(F.col("node") == i, _under(masks, 6 + 6 * i)).otherwise(fine)
     placed = F.when(F.col("n") > SPLIT_ABOVE, fine).otherwise(F.array(F.struct("node", "pattern")))
-    placed = members.select("fp", "id", F.explode(placed).alias("at")).select("at.node", "at.pattern", "fp", "id")
+    placed = members.select("fp", F.explode(placed).alias("at")).select("at.node", "at.pattern", "fp")
     ordered = placed.repartition("node", "pattern").sortWithinPartitions("node", "pattern", gray_rank(F.col("fp")), "fp")
     return ordered.mapInArrow(_searcher(LIMIT), "a long, b long")
 
@@ -220,18 +221,19 @@ def simhash_components(docs: DataFrame, width: int = 3, text: str = "text") -> D
     Fingerprints within two bits link; component_id is the smallest doc_id reachable.
     Equal texts share a fingerprint and are collapsed before the search. Null or wordless
     texts have fingerprint zero and link like any other. Rows that repeat a doc_id count as
-    one document with several fingerprints; a null doc_id never becomes a component id.
-    Other columns of ``docs`` are not read. An empty table gives no rows.
+    one document with several fingerprints; a null doc_id links texts but never becomes a
+    component id. Ids may be of any type with an order. Other columns of ``docs`` are not
+    read, whatever their names. An empty table gives no rows.
     """
     prints = written(fingerprints(docs, width, text), "fingerprints")
-    unique = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    links = hamming_links(unique.where("id is not null"))
+    unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "unique")
     shared = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    # An id with several fingerprints ties the smallest ids of these together.
-    ties = prints.join(shared, "doc_id", "left_semi").join(unique, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    labels = connected_components(links.unionByName(ties))
-    owner = unique.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(owner, "fp").select("doc_id", "fp", "component_id")
+    # An id with several fingerprints ties these together.
+    ties = prints.join(shared, "doc_id").select(F.col("fp").alias("a"), F.col("lo").alias("b"))
+    labels = connected_components(hamming_links(unique.select("fp")).unionByName(ties))
+    placed = written(unique.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "placed")
+    smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    return prints.join(placed.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash_near_dedup(docs: DataFrame) -> DataFrame:
@@ -242,8 +244,6 @@ def op1_simhash_near_dedup(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- near-duplicate stage
 
 BANDS, ROWS = 20, 6
-#: Texts in a bucket beyond which they meet through their rarest shingles instead.
-CROWD = 32
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -261,151 +261,173 @@ def _bands(h: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, text: str) -> DataFrame:
-    """(doc_id, same, fp, size, bands); ``same`` is equal for texts with the same words, ``size`` counts distinct shingles."""
+    """(doc_id, key, same, fp, size, bands); ``same`` is equal for texts with the same words, ``size`` counts distinct shingles."""
     import xxhash
 
     def one(data):
         words = words_of(data)
-        h = np.unique(shingle_hashes(words, width))
-        return xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(data, width), len(h), _bands(h).view(np.int64).tolist() if len(h) else []
+        h = shingle_hashes(words, width)
+        only = np.unique(h)
+        return xxhash.xxh3_128_digest(b" ".join(words)), majority(h), len(only), _bands(only).view(np.int64).tolist() if len(h) else []
 
     def run(batches):
         for batch in batches:
-            same, fps, sizes, bands = zip(*map(one, batch.column(1).to_pylist())) if batch.num_rows else ((), (), (), ())
-            arrays = [batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "same", "fp", "size", "bands"])
+            same, fps, sizes, bands = zip(*map(one, batch.column(2).to_pylist())) if batch.num_rows else ((), (), (), ())
+            arrays = [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "same", "fp", "size", "bands"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).cast("binary").alias("data"))
-    return source.mapInArrow(run, "doc_id long, same binary, fp long, size long, bands array<long>")
+    source = docs.select("doc_id", row_key(filled(text)).alias("key"), filled(text).cast("binary").alias("data"))
+    kinds = StructType.fromDDL("key long, same binary, fp long, size long, bands array<long>")
+    return source.mapInArrow(run, StructType([source.schema["doc_id"], *kinds.fields]))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose shingle sets have a Jaccard similarity of ``least`` or more."""
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of (node, data): the distinct shingle hashes of each text."""
 
     def run(batches):
-        at, shingles = None, None
         for batch in batches:
-            keep, (a, b) = [], (batch.column(2), batch.column(3))
-            for x, y in zip(a, b):
-                x, y = x.as_py(), y.as_py()
-                if x != at:
-                    at, shingles = x, np.unique(shingle_hashes(words_of(x), width))
-                other = np.unique(shingle_hashes(words_of(y), width))
-                both = len(np.intersect1d(shingles, other, assume_unique=True))
-                keep.append(both >= least * (len(shingles) + len(other) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("data").alias("x"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("data").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _rare_shingles(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(node, size, band, key): the rarest shingles of each text, as many as exceed 1 - ``least`` of them.
-
-    Two texts of Jaccard similarity ``least`` share one of these, whatever the order, as long
-    as it is the same for all texts. Rare shingles come first here, so that a passage
-    common to many texts brings none of them together.
-    """
+            for i in range(batch.num_rows):
+                h = np.unique(shingle_hashes(words_of(batch.column(1)[i].as_py()), width)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([h], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    def run(batches):
-        for batch in batches:
-            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = np.unique(shingle_hashes(words_of(data), width)).view(np.int64)
-                for lo in range(0, len(h), _BLOCK):
-                    part = pa.array(h[lo : lo + _BLOCK])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(h))), part], ["node", "size", "key"])
+    return texts.select("node", "data").mapInArrow(run, "node binary, shingles array<long>")
+
+
+def _groups(kinds: DataFrame) -> DataFrame:
+    """(hub, node): groups of texts, such that any two texts that share a bucket share a group.
 
-    rows = written(texts.select("doc_id", "data").mapInArrow(run, "node long, size long, key long"), "shingles")
-    # A shingle of one text alone brings nothing together, but takes a place among the rarest.
-    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
-    order = Window.partitionBy("node").orderBy("n", "key")
-    first = counted.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1)
-    return first.where("n > 1").select("node", "size", F.lit(-1).alias("band"), "key")
+    Buckets are the bands' keys and the components of fingerprints within two bits. The
+    hub of a bucket is the member that meets the most texts in all its buckets. Nearly all buckets of a
+    large group of copies have members with one and the same heaviest hub; these go into that hub's group,
+    the others form one with their own hub.
+    """
+    labels = connected_components(hamming_links(kinds.select("fp").distinct()))
+    alike = kinds.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key"), "node")
+    buckets = kinds.select(F.posexplode("bands").alias("band", "key"), "node").unionByName(alike)
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(buckets.join(sizes, ["band", "key"]), "members")
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weights, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("hub"))
+    met = written(members.join(hubs, ["band", "key"]).select("band", "key", "node", "hub"), "met")
+    heaviest = met.groupBy("node").agg(F.max("hub").alias("heaviest"))
+    placed = met.join(heaviest, "node").groupBy("band", "key").agg(F.min("heaviest.node").alias("lo"), F.max("heaviest.node").alias("hi"), F.max("hub.node").alias("own"))
+    placed = placed.select("band", "key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("own")).alias("hub"))
+    return written(met.select("band", "key", "node").join(placed, ["band", "key"]).select("hub", "node").where("hub <> node").distinct(), "groups")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The symmetric difference of two sets."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
+def _links_off_hub(rest: DataFrame, share: float) -> DataFrame:
+    """Links (a, b) between members of a group that are not yet in one component.
+
+    ``rest`` is (hub, node, component, size, delta), delta being the symmetric difference of a
+    member's shingles and its hub's. Differences cancel: x and y differ in as many shingles as
+    their deltas do, against whatever set these are taken. So the set is first moved to the shingles of the majority, from
+    which copies differ least. With ``excess`` = size of the delta - share * size of the text,
+    texts are similar if and only if their deltas share (excess + excess) / 2 or more. If that is not positive, both link to the
+    member of least excess without any search. Else they share shingles of their deltas that occur in
+    two or more: of these, rarest first, each needs to index only as many as leave fewer than
+    what it must share with the best of the other components. Where that leaves none, as
+    for most copies with changes of their own, a text is held against nobody.
+    """
+    each = rest.select("hub", F.explode("delta").alias("shingle"))
+    sizes = rest.groupBy("hub").agg(F.count("*").alias("members"))
+    often = each.groupBy("hub", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    moved = often.join(sizes, "hub").where(2 * F.col("n") > F.col("members")).groupBy("hub").agg(F.collect_list("shingle").alias("moved"))
+    shifted = rest.join(moved, "hub", "left").withColumn("delta", F.when(F.col("moved").isNull(), F.col("delta")).otherwise(_apart(F.col("delta"), F.col("moved")))).drop("moved")
+    shifted = written(shifted.withColumn("excess", F.size("delta") - share * F.col("size")), "shifted")
+
+    least = shifted.groupBy("hub").agg(F.min(F.struct("excess", "node", "component")).alias("least"))
+    bound = shifted.join(least, "hub")
+    stars = bound.where(F.col("excess") + F.col("least.excess") <= 1e-6).select(F.col("node").alias("a"), F.col("least.node").alias("b"))
+    second = bound.where("component <> least.component").groupBy("hub").agg(F.min("excess").alias("second"))
+    bound = least.join(second, "hub").select("hub", F.col("least.excess").alias("first"), F.col("least.component").alias("main"), "second")
+
+    each = shifted.select("hub", "node", F.explode("delta").alias("shingle"))
+    often = each.groupBy("hub", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common = each.join(often, ["hub", "shingle"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    common = shifted.drop("delta").join(common, ["hub", "node"]).join(bound, "hub")
+    # What a text can share at most bounds the excess of a partner.
+    common = common.withColumn("reach", 2 * F.size("common") - F.col("excess"))
+    partner = F.when(F.col("component") == F.col("main"), F.col("second")).otherwise(F.col("first"))
+    common = written(common.withColumn("must", F.greatest(F.lit(1), F.ceil((F.col("excess") + partner) / 2 - 1e-6))).where("must <= size(common)"), "common")
+    farthest = common.groupBy("hub", (F.col("component") == F.col("main")).alias("in_main")).agg(F.max("reach").alias("reach"))
+    farthest = farthest.groupBy("hub").agg(F.max("reach").alias("any_reach"), F.max(F.when(~F.col("in_main"), F.col("reach"))).alias("off_reach"))
+    able = common.join(farthest, "hub").where(F.col("excess") <= F.when(F.col("component") == F.col("main"), F.col("off_reach")).otherwise(F.col("any_reach")) + 1e-6)
+    able = written(able.select("hub", "node", "component", "main", "size", "excess", "reach", "must", F.transform("common", lambda x: x["shingle"]).alias("common")), "able")
+
+    keys = able.select("hub", "node", "component", "main", "size", "excess", "reach", F.explode(F.expr("slice(common, 1, size(common) - must + 1)")).alias("shingle"))
+    x = keys.where("component <> main").drop("main")
+    y = keys.select("hub", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "size", "excess", "reach")], (F.col("component") == F.col("main")).alias("in_main"))
+    similar = (F.col("size") >= F.col("size_y") * ((1 - share) / (1 + share)) - 1e-6) & (F.col("size_y") >= F.col("size") * ((1 - share) / (1 + share)) - 1e-6)
+    reached = (F.col("excess") <= F.col("reach_y") + 1e-6) & (F.col("excess_y") <= F.col("reach") + 1e-6) & (F.col("excess") + F.col("excess_y") > 1e-6)
+    pairs = x.join(y, ["hub", "shingle"]).where((F.col("component") != F.col("component_y")) & (F.col("in_main") | (F.col("node") < F.col("node_y"))) & similar & reached)
+    pairs = written(pairs.select("hub", "node", "node_y", "excess", "excess_y").distinct(), "pairs")
+    held = pairs.join(able.select("hub", "node", "common"), ["hub", "node"]).join(able.select("hub", F.col("node").alias("node_y"), F.col("common").alias("common_y")), ["hub", "node_y"])
+    found = held.where(2 * F.size(F.array_intersect("common", "common_y")) >= F.col("excess") + F.col("excess_y") - 1e-6)
+    return stars.unionByName(found.select(F.col("node").alias("a"), F.col("node_y").alias("b")))
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(doc_id, component_id) for each distinct doc_id, over links of Jaccard ``similarity``.
 
-    Texts with the same words collapse first. Candidates come from the Gray-ordered index
-    over SimHash fingerprints and, because a 64-bit SimHash spreads such pairs over about 16
-    bits, from 20 bands of 6 min-hashes (0.998 of the pairs at 0.8 meet). Every candidate
-    is verified on the full shingle sets. Texts of a bucket of more than CROWD members, where a
-    common passage may have brought together what is not alike, meet through their rarest
-    shingles instead, which is exact. Within a bucket, members are held against
-    one hub (the member that meets the most others), then against up to 32, 1024, ... further hubs
-    until all members are in one component or have been compared: large groups of copies
-    cost a comparison for each member and no pair is left out, but those whose sizes rule
-    the similarity out. Rows with a null doc_id are left out here.
+    Texts with the same words collapse first. Texts meet in a group (:func:`_groups`) if the Gray-ordered index
+    puts their fingerprints in one component or, because a 64-bit SimHash spreads pairs
+    of this similarity over some 16 bits, if one of 20 bands of 6 min-hashes is equal (0.998 of the pairs at 0.8 meet).
+    Within a group the search is exact and complete: every member is held against the
+    hub on whole shingle sets, and members off the hub's component against each other by what they don't share
+    with the hub (:func:`_links_off_hub`). No group is cut or sampled and none emits its pairs.
+
+    Rows with a null doc_id are left out here; an id with several texts ties these
+    together. Wordless texts are equal to each other and similar to nothing else. Other columns are not read.
     """
+    share = (1 - similarity) / (1 + similarity)
     known = docs.where("doc_id is not null")
-    signed = written(_signatures(known, width, text), "signatures")
-    kinds = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("fp", "size", "bands")]), "texts")
-    owned = written(signed.select("doc_id", "same").join(kinds.select("same", "node"), "same").select("doc_id", "node"), "owned")
-
-    buckets = kinds.select("node", "size", F.posexplode("bands").alias("band", "key"))
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(sizes, ["band", "key"]), "members")
-    index = hamming_links(kinds.groupBy("fp").agg(F.min("node").alias("id")))
-    pairs = written(index.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-
-    in_play = members.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).cast("binary").alias("data"), row_same(text).alias("tie"))
-    texts = texts.join(in_play.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
-    texts = written(texts.groupBy("doc_id").agg(F.min_by("data", "tie").alias("data")), "candidate-texts")
-
-    crowded = members.where(F.col("n") > CROWD).select(F.col("node").alias("doc_id")).distinct()
-    rare = _rare_shingles(texts.join(crowded, "doc_id", "left_semi"), width, similarity)
-    members = members.where(F.col("n") <= CROWD).select("node", "size", "band", "key").unionByName(rare)
-    weight = members.groupBy("node").agg(F.count("*").alias("weight"))
-    members = written(members.join(weight, "node").withColumn("component", F.col("node")), "members")
-
-    # An id with several texts ties them together.
-    several = owned.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    edges = owned.join(several, "doc_id").select(F.col("node").alias("a"), F.col("lo").alias("b"))
-    edges = edges.unionByName(written(_similar(pairs, texts, width, similarity), "verified"))
-    labels, tried, hubs, changed = None, pairs, 1, False
-    while True:
-        if changed:
-            labels = written(connected_components(edges), "labels")
-            members = members.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            members = members.select("band", "key", "node", "size", "weight", "component")
-        if hubs > 1:
-            mixed = members.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-            members = written(members.join(mixed, ["band", "key"], "left_semi"), "members")
-        if not members.take(1):
-            break
-        part = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        chosen = members.groupBy("band", "key", part.alias("part")).agg(F.max_by(F.struct("node", "component", "size"), F.struct("weight", -F.col("node"))).alias("hub"))
-        chosen = written(chosen.select("band", "key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of"), F.col("hub.size").alias("hub_size")), "hubs")
-        met = members.join(chosen, ["band", "key"]).where("component <> of").where(F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - 1e-6)
-        met = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = written(met.join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.unionByName(pairs)
-        links = written(_similar(pairs, texts, width, similarity), "verified")
-        changed = labels is None or bool(links.take(1))
-        stars = edges if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        edges = stars.unionByName(links)
-        members = members.join(chosen.select("band", "key", F.col("hub").alias("node")), ["band", "key", "node"], "left_anti")
-        hubs *= 32
-    if labels is None:
-        labels = connected_components(edges)
-    found = owned.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-
-
-def row_same(text: str) -> Column:
-    return F.xxhash64(filled(text))
+    with scratch():
+        signed = written(_signatures(known, width, text), "signatures")
+        kinds = signed.groupBy(F.col("same").alias("node")).agg(F.min(F.struct("doc_id", "key", "fp", "size", "bands")).alias("m"))
+        kinds = written(kinds.select("node", "m.*"), "texts")
+        groups = _groups(kinds)
+
+        in_play = groups.select("node").union(groups.select("hub")).distinct()
+        wanted = kinds.select("doc_id", "key", "node").join(in_play, "node", "left_semi")
+        texts = known.select("doc_id", row_key(filled(text)).alias("key"), filled(text).cast("binary").alias("data")).join(wanted.hint("merge"), ["doc_id", "key"])
+        sets = written(_shingle_sets(texts.groupBy("node").agg(F.first("data").alias("data")), width), "shingles")
+
+        of_hub = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub"))
+        met = groups.join(sets, "node").join(of_hub, "hub")
+        met = met.select("hub", "node", F.size("shingles").alias("size"), F.size("of_hub").alias("hub_size"), _apart(F.col("shingles"), F.col("of_hub")).alias("delta"))
+        met = written(met.withColumn("linked", F.size("delta") <= share * (F.col("size") + F.col("hub_size")) + 1e-6), "deltas")
+
+        several = signed.groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi")
+        ties = signed.join(several, "doc_id").select(F.col("same").alias("a"), F.col("lo").alias("b"))
+        labels = written(connected_components(met.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(ties)), "labels")
+
+        rest = met.join(labels, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"), "size", "delta")
+        mixed = rest.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
+        rest = written(rest.join(mixed, "hub", "left_semi"), "rest")
+        links = _links_off_hub(rest, share).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = connected_components(links)
+
+        placed = kinds.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+        placed = written(placed, "placed")
+        smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        owner = placed.join(smallest, "component").select(F.col("node").alias("same"), "component_id")
+        found = signed.select("doc_id", "same").join(owner, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        return written(found, "near-duplicates", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
     Of rows that repeat the kept doc_id, one stays (smallest text hash). Rows with a null
-    doc_id all stay. Columns are those of ``docs``.
+    doc_id all stay. Columns are those of ``docs``, whatever their names; an empty table stays empty.
     """
-    kept = near_duplicate_components(docs, width, similarity, text).where("doc_id = component_id").select("doc_id")
-    once = Window.partitionBy("doc_id").orderBy(F.col("__tie"))
-    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__tie", row_same(text))
-    rows = rows.withColumn("__rank", F.row_number().over(once)).where("__rank = 1").select(*docs.columns)
-    return rows.unionByName(docs.where("doc_id is null"))
+    kept = near_duplicate_components(docs, width, similarity, text).where("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    rows = docs.select(F.col("doc_id").alias("id"), row_key(filled(text)).alias("tie"), F.struct("*").alias("row"))
+    first = Window.partitionBy("id").orderBy("tie")
+    once = rows.join(kept.hint("merge"), "id", "left_semi").withColumn("rank", F.row_number().over(first)).where("rank = 1")
+    return once.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
