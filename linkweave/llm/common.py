@@ -88,6 +88,11 @@ def filled(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` with ``value`` bound: a lambda that used the expression itself would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_of(data: bytes | None) -> list[bytes]:
     """Words with A-Z lower-cased; bytes.lower and bytes.split are ASCII-only, as wanted."""
     return data.lower().split() if data else []

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, filled
+from .common import WORD, filled, let
 
 #: Hash buckets of the multinomials; what the driver reads of the corpus is this many pairs of counts.
 BUCKETS = 4096
@@ -22,11 +22,6 @@ _SPACE = "\t\n\x0b\f\r "
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` with ``value`` bound: a lambda that used the expression itself would compute it for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _repeat_words(words: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more.
 
@@ -38,9 +33,9 @@ def _repeat_words(words: Column) -> Column:
     hashes = lambda w: F.transform(at(w), lambda i: hash_at(w, i))
     windows = lambda w: F.sort_array(F.transform(at(w), lambda i: F.struct(hash_at(w, i).alias("h"), F.concat_ws(" ", F.slice(w, i, 3)).alias("w"), i.alias("i"))))
     neighbours = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), lambda x, y: F.when((x["h"] == y["h"]) & (x["w"] == y["w"]), F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")))
-    starts = lambda w: F.array_distinct(F.flatten(_let(windows(w), neighbours)))
+    starts = lambda w: F.array_distinct(F.flatten(let(windows(w), neighbours)))
     covered = lambda w: F.size(F.array_distinct(F.flatten(F.transform(starts(w), lambda i: F.array(i, i + 1, i + 2)))))
-    return _let(words, lambda w: F.when(F.size(w) < 4, 0).when(F.size(F.array_distinct(hashes(w))) == F.size(w) - 2, 0).otherwise(covered(w)))
+    return let(words, lambda w: F.when(F.size(w) < 4, 0).when(F.size(F.array_distinct(hashes(w))) == F.size(w) - 2, 0).otherwise(covered(w)))
 
 
 def base_columns(text: Column) -> dict[str, Column]:
@@ -62,7 +57,7 @@ def grams(text: Column, buckets: int = BUCKETS) -> Column:
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     bucket = lambda *x: (F.pmod(F.xxhash64(*x), F.lit(buckets)) + 1).cast("int")
     pairs = lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), lambda a, b: bucket(a, b))
-    return _let(tokens, lambda t: F.concat(F.transform(t, lambda x: bucket(x)), pairs(t)))
+    return let(tokens, lambda t: F.concat(F.transform(t, lambda x: bucket(x)), pairs(t)))
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text: str = "text") -> list[float]:
@@ -88,7 +83,7 @@ def log_ratio(text: Column, weights: list[float]) -> Column:
     """Mean weight of a text's n-grams; 0 without any."""
     table = F.split(F.lit(",".join(f"{w:.12g}" for w in weights)), ",").cast("array<double>")
     mean = lambda g: F.try_divide(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.element_at(table, b)), F.size(g))
-    return F.coalesce(_let(grams(text, len(weights)), mean), F.lit(0.0))
+    return F.coalesce(let(grams(text, len(weights)), mean), F.lit(0.0))
 
 
 def quality_scores(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -69,3 +69,58 @@ def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (None, "a@b.c")], "doc_id long, text string")
     assert [r.spans for r in op2_pii(docs).collect()] == ["email:0:5"] * 3
     assert op2_pii(docs.limit(0)).count() == 0
+
+
+def test_secrets_seed_their_context(spark):
+    rng = random.Random(4)
+    digits = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    texts = [f'some words and token = "{digits(40)}" more {i}' for i in range(20)] + [f'TOKEN = "{digits(40).upper()}"!! MORE', "a token = 'qz-81-live' here", "commit " + digits(40) + " went in", "AKIA" + digits(16, "ABC123")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op2_pii(docs).collect()}
+    for i, t in enumerate(texts[:20]):
+        assert got[i].spans == f"secret:{t.index('"') + 1}:{t.index('"') + 41}"
+    assert got[20].spans == "secret:9:49" and got[21].spans == "secret:11:21" and got[22].spans == "" and got[23].spans == "secret:0:20"
+    assert all(r.n_spans == len(r.spans.split(",")) if r.spans else r.n_spans == 0 for r in got.values())
+
+
+def test_scores_match_a_plain_scorer(spark):
+    from linkweave.llm import pii
+
+    rng = random.Random(9)
+    rows = []
+    for v in range(150):
+        kind = rng.choice([None, None, 0, 2])
+        at = [f"l w{rng.randrange(6) if kind is None else kind * 2 + rng.randrange(3)}" for _ in range(2)] + [f"r x{rng.randrange(12)}"]
+        rows += [(kind, f"v{v}", [p]) for p in set(at)]
+    got = {(r.pattern, r.kind): r.confidence for r in pii.score_graph(spark.createDataFrame(rows, "kind int, value string, patterns array<string>")).collect()}
+
+    values, kinds = {}, {}
+    for kind, v, ps in rows:
+        kinds[v] = kind
+        for p in ps:
+            values.setdefault(p, set()).add(v)
+    values = {p: v for p, v in values.items() if len(v) >= pii.SUPPORT}
+    seeds = {(p, k): n for p, v in values.items() for k in (0, 2) if (n := sum(kinds[x] == k for x in v))}
+    conf = {(p, k): n / (len(values[p]) - pii.KEEP * sum(kinds[x] is None for x in values[p]) + pii.PRIOR) for (p, k), n in seeds.items()}
+    for _ in range(pii.ROUNDS):
+        was = dict(conf)
+        for p, vs in values.items():
+            for k in (0, 2):
+                best = [max([was.get((q, k), 0) for q, w in values.items() if x in w]) for x in vs if kinds[x] is None]
+                gained = sum(pii.KEEP * b for b in best if b >= pii.CONFIDENCE / 10)
+                if seeds.get((p, k)) or gained:
+                    conf[p, k] = max(was.get((p, k), 0), (seeds.get((p, k), 0) + gained) / (len(vs) + pii.PRIOR))
+        if all(c - was.get(x, 0) <= pii.CHANGE for x, c in conf.items()):
+            break
+    want = {x: c for x, c in conf.items() if c >= pii.CONFIDENCE}
+    assert want and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_a_text_with_very_many_spans(spark):
+    import time
+
+    text = " ".join(f"u{i}@pay.example.org code {i}" for i in range(10_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = op2_pii(docs).first()
+    assert row.n_email == 10_000 and time.time() - began < 60
