@@ -11,8 +11,6 @@ from .common import WORD, filled, row_key, written
 MIN_SITES = 5
 #: Sketch size (2^12 registers, standard error 1.6 %) and the band around MIN_SITES that is counted exactly.
 LG_K, MARGIN = 12, 0.2
-#: op5, as its SQL, leaves a document with a larger share of its words in such lines whole. drop_boilerplate_lines doesn't.
-MAX_SHARE = 0.5
 
 
 def _lines(text: Column) -> Column:
@@ -46,33 +44,30 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text"
 
 
 def _copied(docs: DataFrame, text: str) -> DataFrame:
-    """(__key, __other): hashes of the whole texts that stand under two doc_ids or more; null is one doc_id."""
-    texts = docs.select("doc_id", row_key(filled(text)).alias("__key"), F.xxhash64(F.lit(7), filled(text)).alias("__other"))
-    found = texts.groupBy("__key", "__other").agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    return written(found.where((F.col("lo") < F.col("hi")) | (F.col("ids").between(1, F.col("n") - 1))).select("__key", "__other"), "copied")
+    """(key, other): hashes of the whole texts that stand under two doc_ids or more; null is one doc_id."""
+    texts = docs.select("doc_id", row_key(filled(text)).alias("key"), F.xxhash64(F.lit(7), filled(text)).alias("other"))
+    found = texts.groupBy("key", "other").agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    return written(found.where((F.col("lo") < F.col("hi")) | (F.col("ids").between(1, F.col("n") - 1))).select("key", "other"), "copied")
 
 
-def _words_in(lines: str) -> Column:
+def _words_in(lines: Column) -> Column:
     return F.regexp_count(F.array_join(lines, "\n"), F.lit(WORD))
 
 
-def _with_hits(docs: DataFrame, min_sites: int, text: str, site: str, copies: bool = False) -> DataFrame:
-    """``docs`` with __lines (all lines), __hits (places of boilerplate) and __left (the other lines); with ``copies``, __copied too."""
+def _stripped(docs: DataFrame, min_sites: int, text: str, site: str) -> DataFrame:
+    """(row, lines, left): every row as one struct, its lines, and those that stay."""
     spread = spread_lines(docs, min_sites, text, site).select("h", "g")
-    at = docs.select(F.col("doc_id").alias("__doc"), row_key(filled(text)).alias("__key"), F.xxhash64(F.lit(7), filled(text)).alias("__other"), F.posexplode(_lines(filled(text))).alias("pos", "line"))
-    hits = at.where(F.col("line").rlike(WORD)).select("__doc", "__key", "__other", "pos", *_keyed()).join(spread, ["h", "g"])
-    hits = hits.groupBy("__doc", "__key").agg(F.min("__other").alias("__other"), F.collect_set("pos").alias("__hits"))
-    if copies:
-        hits = hits.join(_copied(docs, text).withColumn("__copied", F.lit(True)), ["__key", "__other"], "left")
-    joined = docs.withColumn("__text_key", row_key(filled(text))).join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
-    lines = joined.withColumn("__lines", _lines(filled(text))).withColumn("__hits", F.coalesce("__hits", F.array().cast("array<int>")))
-    left = F.filter("__lines", lambda x, i: ~F.array_contains("__hits", i))
-    return lines.withColumn("__left", F.when(F.size("__hits") == 0, F.col("__lines")).otherwise(left))
-
-
-def _unless(whole: Column) -> Column:
-    """The lines that stay: all of them if there is no boilerplate or the document is left ``whole``."""
-    return F.when(F.size("__hits") == 0, F.col("__lines")).when(whole, F.col("__lines")).otherwise(F.col("__left"))
+    at = docs.select(F.col("doc_id").alias("doc"), row_key(filled(text)).alias("key"), F.xxhash64(F.lit(7), filled(text)).alias("other"), F.posexplode(_lines(filled(text))).alias("pos", "line"))
+    hits = at.where(F.col("line").rlike(WORD)).select("doc", "key", "other", "pos", *_keyed()).join(spread, ["h", "g"])
+    hits = hits.groupBy("doc", "key").agg(F.min("other").alias("other"), F.collect_set("pos").alias("hits"))
+    hits = hits.join(_copied(docs, text).withColumn("copied", F.lit(True)), ["key", "other"], "left").select("doc", F.col("key").alias("hit_key"), "hits", "copied")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_key(filled(text)).alias("key"), _lines(filled(text)).alias("lines"))
+    joined = rows.join(hits.hint("merge"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("hit_key")), "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("hits"))
+    rest = joined.select("row", "lines", "hits", "copied", F.when(F.col("hits").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i))).alias("rest"))
+    words = _words_in(F.col("rest"))
+    whole = (words == 0) | (F.col("copied").isNotNull() & (2 * words < _words_in(F.col("lines"))))
+    return rest.select("row", "lines", F.when(F.col("hits").isNull() | whole, F.col("lines")).otherwise(F.col("rest")).alias("left"))
 
 
 def drop_boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source") -> DataFrame:
@@ -80,37 +75,34 @@ def drop_boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: st
 
     Only known copies are left whole, which near-duplicate removal decides on: a document
     all of whose words stand in such lines, and one with most of them there whose whole text
-    is also that of another document. A null text stays null, an empty one empty. Rows that
-    repeat a document are treated alike.
+    is also that of another document. A null text stays null, an empty one empty, an empty table empty. Rows that
+    repeat a document are treated alike. Other columns pass through, whatever their names.
     """
-    found = _with_hits(docs, min_sites, text, site, copies=True)
-    copied = F.col("__copied").isNotNull() & (2 * _words_in("__left") < _words_in("__lines"))
-    left = _unless((_words_in("__left") == 0) | copied)
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(left, "\n"))).select(*docs.columns)
+    found = _stripped(docs, min_sites, text, site)
+    joined = F.when(F.col("row")[text].isNotNull(), F.array_join("left", "\n"))
+    return found.select(F.col("row").withField(text, joined).alias("row")).select("row.*")
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
-    found = _with_hits(docs, MIN_SITES, "text", "source")
-    found = found.withColumn("__left", _unless(_words_in("__left") < (1 - MAX_SHARE) * _words_in("__lines")))
-    return found.select(
-        "doc_id",
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__left")).cast("long").alias("n_removed"),
-        F.md5(F.array_join("__left", "\n")).alias("text_md5"),
+    return _stripped(docs, MIN_SITES, "text", "source").select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
+        F.md5(F.array_join("left", "\n")).alias("text_md5"),
     )
 
 
 OP5_SQL = f"""
-with d as (select row_number() over () as r, doc_id, source, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as body, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+c as (select body from d group by body having min(doc_id) < max(doc_id) or count(doc_id) between 1 and count(*) - 1),
 l as (select r, source, unnest(ls) as line, generate_subscripts(ls, 1) as pos from d),
 b as (select line from l where regexp_matches(line, '{WORD}') group by line having count(distinct source) >= {MIN_SITES}),
 k as (select l.r, l.pos, l.line, b.line is not null as hit, len(regexp_extract_all(l.line, '{WORD}')) as w from l left join b using (line)),
 s as (select r, sum(w) as w_all, sum(case when hit then 0 else w end) as w_left,
         count(*) as n, sum(hit::int) as n_hit,
         coalesce(string_agg(line, chr(10) order by pos) filter (not hit), '') as t_left,
-        string_agg(line, chr(10) order by pos) as t_all from k group by r)
-select doc_id, n::bigint as n_lines,
-  (case when w_left >= {1 - MAX_SHARE} * w_all then n_hit else 0 end)::bigint as n_removed,
-  md5(case when w_left >= {1 - MAX_SHARE} * w_all then t_left else t_all end) as text_md5
-from s join d using (r)
+        string_agg(line, chr(10) order by pos) as t_all from k group by r),
+v as (select s.*, d.doc_id, w_left = 0 or (c.body is not null and 2 * w_left < w_all) as whole from s join d using (r) left join c using (body))
+select doc_id, n::bigint as n_lines, (case when whole then 0 else n_hit end)::bigint as n_removed, md5(case when whole then t_all else t_left end) as text_md5
+from v
 """
