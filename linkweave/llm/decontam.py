@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import filled, shingle_hashes, words_of, written
+from .common import filled, row_key, shingle_hashes, words_of, written
 
 WIDTH, CONTAINMENT = 5, 0.8
 #: Chance, at most, that the sketch misses the shortest item at the threshold.
 MISS = 1e-3
+#: Items of fewer shingles are looked up exactly instead of through the sketch.
+LONG = 8
 #: Probes up to this number (16 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_PROBES = 500_000
 
@@ -51,55 +54,104 @@ def _sketch(h: np.ndarray, bins: dict[int, int], share: float) -> np.ndarray:
     return h[np.r_[True, where[1:] != where[:-1]]]
 
 
-def _mapped(docs: DataFrame, text: str, width: int, made, columns: str) -> DataFrame:
-    """(id, key, ...) rows of ``made(hashes)`` for each document; ``key`` tells apart texts under one id."""
+def _shingles(words: list[bytes], width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words, width)) if len(words) >= width else np.empty(0, np.uint64)
+
+
+def _probes(items: DataFrame, width: int, text: str) -> DataFrame:
+    """(item_id, item_key, width, h, n_item): the shingles of each item; one of fewer words than ``width`` is one shingle of its own width."""
     import xxhash
 
     def run(batches):
         for batch in batches:
-            for i, data in zip(batch.column(0), batch.column(1).to_pylist()):
-                h = np.unique(shingle_hashes(w, width)) if len(w := words_of(data)) >= width else np.empty(0, np.uint64)
-                if len(h):
-                    out = made(h)
-                    n = len(out[0])
-                    key = np.full(n, np.uint64(xxhash.xxh64_intdigest(data))).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()).take(pa.array(np.zeros(n, np.int64))), pa.array(key), *map(pa.array, out)], names)
+            for i, data in enumerate(batch.column(1).to_pylist()):
+                words = words_of(data)
+                own = min(width, len(words))
+                h = _shingles(words, own) if own else np.empty(0, np.uint64)
+                if n := len(h):
+                    same = lambda x: pa.array(np.full(n, x))  # noqa: E731, B023
+                    key = np.uint64(xxhash.xxh64_intdigest(data)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(n, i))), same(key), same(own), pa.array(h.view(np.int64)), same(n)], ["item_id", "item_key", "width", "h", "n_item"])
+
+    source = items.where("item_id is not null").select("item_id", filled(text).cast("binary").alias("data"))
+    return source.mapInArrow(run, StructType([source.schema["item_id"], *StructType.fromDDL("item_key long, width long, h long, n_item long").fields]))
+
 
-    names = [x.split()[0] for x in f"id long, key long, {columns}".split(", ")]
-    source = docs.select(F.col(docs.columns[0]).cast("long"), filled(text).cast("binary").alias("data"))
-    return source.mapInArrow(run, f"id long, key long, {columns}")
+def _mapped(docs: DataFrame, made) -> DataFrame:
+    """(id, key, width, h) rows of ``made(words)``, arrays of h by width, for each (doc_id, key, data)."""
+
+    def run(batches):
+        for batch in batches:
+            out, held = [], 0
+            for i, data in enumerate(batch.column(2).to_pylist()):
+                for width, h in made(words_of(data)):
+                    if len(h):
+                        out.append((i, width, h))
+                        held += len(h)
+                if held >= 1 << 17:
+                    yield gathered(batch, out)
+                    out, held = [], 0
+            if out:
+                yield gathered(batch, out)
+
+    def gathered(batch, out):
+        n = [len(h) for _, _, h in out]
+        at = pa.array(np.repeat([i for i, _, _ in out], n))
+        width = pa.array(np.repeat(np.array([w for _, w, _ in out], np.int64), n))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), width, pa.array(np.concatenate([h for _, _, h in out]).view(np.int64))], ["id", "key", "width", "h"])
+
+    source = docs.select(F.col("doc_id").alias("id"), "key", "data")
+    return source.mapInArrow(run, StructType([source.schema["id"], *StructType.fromDDL("key long, width long, h long").fields]))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, width: int = WIDTH, text: str = "text") -> DataFrame:
     """(doc_id, key, item_id, n_shared, n_item) of the items that a document contains.
 
     A document contains an item if at least ``containment`` of the item's distinct
-    ``width``-word shingles are among the document's. Documents and items of fewer words
-    have no shingle: they contain nothing and are contained in nothing. Null texts count as
-    empty; a null doc_id is kept. Rows that repeat a document are searched once for each text.
-
-    Documents are partitioned by size; each partition has its own number of bins, so that
+    ``width``-word shingles are among the document's; an item of fewer words if its whole word sequence
+    stands in the document. Wordless items are contained in nothing, and so are items without an id. Null texts count as
+    empty; a null doc_id is kept. Rows that repeat a document are searched once for each text, which ``key`` (a hash) tells apart.
+    Ids may be of any type; other columns are not read. Empty tables give no rows.
+
+    Items are partitioned by size: the sketch serves those of LONG shingles or more, so that a short item
+    doesn't make it keep all of every document; shorter ones are looked up by exact shingles. Documents are partitioned by
+    size too; each partition has its own number of bins, so that
     long documents keep as many minima as the shortest item needs. Items are probed with
     all their shingles. Candidates are verified on all shingles of the document.
     """
-    probes = _mapped(items.select("item_id", text), text, width, lambda h: (h.view(np.int64), np.full(len(h), len(h))), "h long, n_item long")
-    probes = written(probes.where("id is not null").select(F.col("id").alias("item_id"), "key", "h", "n_item"), "probes")
+    probes = written(_probes(items, width, text), "probes")
     # An item_id with several texts is several items that share the id.
-    size, least = probes.agg(F.count("*"), F.min("n_item")).first()
-    share = kept_share(least or 1, containment)
-    probe = F.broadcast if size <= BROADCAST_PROBES else (lambda df: df)
-    columns = docs.select("doc_id", text)
-
-    def minima(h, bins={}):  # noqa: B006  a cache for the life of the worker
-        return (_sketch(h, bins.setdefault(share, {}), share).view(np.int64),)
-
-    sketches = _mapped(columns, text, width, minima, "h long")
-    met = sketches.join(probe(probes.select("h").distinct()), "h", "left_semi").select("id", "key").distinct()
-    candidates = written(met, "candidates")
-
-    source = columns.withColumn("__id", F.col("doc_id").cast("long")).join(candidates.select("id").distinct().hint("merge"), F.col("__id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", text)
-    full = _mapped(source, text, width, lambda h: (h.view(np.int64),), "h long")
-    full = full.join(probe(probes.select("h", "item_id", F.col("key").alias("item_key"), "n_item")), "h")
+    is_long = (F.col("width") == width) & (F.col("n_item") >= LONG)
+    size, least = probes.agg(F.count("*"), F.min(F.when(is_long, F.col("n_item")))).first()
+    share = kept_share(least or LONG, containment)
+    small = size <= BROADCAST_PROBES
+    probe = F.broadcast if small else (lambda df: df)
+    short = probes.where(~is_long).select("width", "h").distinct()
+    widths = [r.width for r in short.select("width").distinct().collect()]  # ``width`` values at most
+    # The exact shingles of short items, where few enough to be sent along, keep all other shingles from leaving the worker.
+    wanted: dict[int, list[int]] = {w: [] for w in widths}
+    for r in short.collect() if small else ():
+        wanted[r.width].append(r.h)
+    known = {w: np.sort(np.array(h, np.int64).view(np.uint64)) for w, h in wanted.items()} if small else None
+
+    def sketched(words, bins={}):  # noqa: B006  a cache for the life of the worker
+        full = _shingles(words, width)
+        if least and len(full):
+            yield width, _sketch(full, bins.setdefault(share, {}), share)
+        for w in widths:
+            h = full if w == width else _shingles(words, w)
+            yield w, h if known is None else h[np.isin(h, known[w])]
+
+    def whole(words):
+        for w in {width, *widths}:
+            yield w, _shingles(words, w)
+
+    columns = docs.select("doc_id", row_key(filled(text)).alias("key"), filled(text).cast("binary").alias("data"))
+    met = _mapped(columns, sketched).join(probe(probes.select("width", "h").distinct()), ["width", "h"], "left_semi")
+    candidates = written(met.select("id", F.col("key").alias("met_key")).distinct(), "candidates")
+
+    source = columns.join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("met_key")), "left_semi")
+    full = _mapped(source, whole).join(probe(probes), ["width", "h"])
     # Rows that repeat a document repeat its shingles.
     shared = full.groupBy("id", "key", "item_id", "item_key", "n_item").agg(F.count_distinct("h").alias("n_shared"))
     found = shared.where(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9)
@@ -108,10 +160,14 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, width: int = WIDTH, text: str = "text") -> DataFrame:
-    """``docs`` without the documents that contain an item; same columns."""
-    ids = contained_items(docs, items, containment, width, text).select(F.col("doc_id").alias("__id")).distinct()
-    ids = written(ids, "contaminated")
-    return docs.join(ids.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text contains an item; same columns, whatever their names.
+
+    Rows that repeat a doc_id, or have none, are judged each by its own text. Empty tables take nothing out.
+    """
+    bad = contained_items(docs, items, containment, width, text).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
+    bad = written(bad, "contaminated")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_key(filled(text)).alias("key"))
+    return rows.join(bad.hint("merge"), F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")
 
 
 def op10_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
