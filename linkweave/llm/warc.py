@@ -21,14 +21,19 @@ MIN_REVISIT = 100
 #: A file is closed once it holds this many bytes.
 ROLL_AT = 64 << 20
 _CHUNK = 1 << 20
-#: A record's header block, and a whole record, may not be larger; beyond, it is damage.
+#: A record's header block, and a whole record, may not be larger: the writer refuses such a page, to the reader it is damage.
 MAX_RECORD = 1 << 30
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def _named(page_id: int | None, digest: str) -> str:
+    """The id of the response that revisits of a payload refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}:{digest}')}>"
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, own_id: str = "") -> bytes:
     """One record. A revisit has the HTTP head of the response, with the payload's length, and no payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + payload
@@ -36,7 +41,7 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, k
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}:{digest}')}>",
+        f"WARC-Record-ID: {own_id or _named(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {url}",
         "Content-Type: application/http; msgtype=response",
@@ -45,17 +50,20 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, k
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{refers_to}:{digest}')}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_named(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    out = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    if len(out) > MAX_RECORD:
+        raise ValueError(f"page {page_id}: a record of {len(out)} bytes would not be read back; the limit is {MAX_RECORD}")
+    return out
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) with payload, payload_digest, record_type and refers_to.
 
     Of the pages with equal payloads of MIN_REVISIT bytes or more, the one with the smallest
-    page_id is the response and the others revisit it. A null html is an empty payload. A
-    null page_id never becomes a response that others refer to unless it stands alone.
+    page_id is the response and the others revisit it; of rows that repeat that page_id, one is (the smallest url). A null html is an empty payload. A
+    null page_id never becomes a response that others refer to unless it stands alone. Other columns are not read; an empty table has no records.
     Groups of equal payloads are reduced to their smallest id in each task before they move; payloads
     move once, to meet it, and a join splits groups that are too large for a task.
     """
@@ -63,12 +71,23 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     large = rows.where(F.octet_length("payload") >= MIN_REVISIT)
-    groups = large.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    groups = written(groups.where("n > 1 and first is not null").select("payload_digest", "first"), "payload-groups")
+    each = large.groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    groups = each.groupBy("payload_digest").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("n").alias("rows"))).alias("m"))
+    groups = written(groups.where("n > 1 and m.page_id is not null").select("payload_digest", F.col("m.page_id").alias("first"), F.col("m.rows").alias("rows")), "payload-groups")
     joined = rows.join(groups.hint("merge"), "payload_digest", "left")
     # Equal payloads are equal digests; small ones have no group.
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    leads = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
+    revisit = F.col("first").isNotNull() & ~(leads & (F.coalesce("rows", F.lit(1)) == 1))
+    plan = lambda df, again: df.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    if not groups.where("rows > 1").take(1):
+        return plan(joined, revisit)
+    # Rows that repeat the page_id of a response: equal ones are counted and made anew, one of them as the response.
+    several = leads & (F.col("rows") > 1)
+    counted = joined.where(several).groupBy("payload_digest", "page_id", "url", "first").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
+    least = counted.groupBy(F.col("payload_digest").alias("of")).agg(F.min(F.struct(F.col("url").isNotNull().alias("some"), F.col("url").alias("url"))).alias("least"))
+    counted = counted.join(least, F.col("payload_digest") == F.col("of")).withColumn("is_first", F.col("url").eqNullSafe(F.col("least.url")))
+    again = counted.select("page_id", "url", "payload", "payload_digest", "first", "is_first", F.explode(F.expr("sequence(1L, n)")).alias("ordinal"))
+    return plan(joined.where(~several), revisit).unionByName(plan(again, ~(F.col("is_first") & (F.col("ordinal") == 1))))
 
 
 def write_archives(records: DataFrame, path: str, compress: bool = True) -> DataFrame:
@@ -89,7 +108,9 @@ def write_archives(records: DataFrame, path: str, compress: bool = True) -> Data
                 if out is None:
                     name, n, size = f"part-{uuid.uuid4().hex}.warc" + ".gz" * compress, 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                data = _record(row["page_id"], row["url"], row["payload"], row["payload_digest"], row["record_type"], row["refers_to"])
+                # What others refer to has an id that follows from its page; any other record has one of its own.
+                own = "" if row["record_type"] == "response" and len(row["payload"]) >= MIN_REVISIT else f"<urn:uuid:{uuid.uuid4()}>"
+                data = _record(row["page_id"], row["url"], row["payload"], row["payload_digest"], row["record_type"], row["refers_to"], own)
                 if compress:
                     gz = zlib.compressobj(6, zlib.DEFLATED, 31)
                     data = gz.compress(data) + gz.flush()
@@ -122,6 +143,18 @@ class _Source:
             self.data += more
         return len(self.data) >= size
 
+    def ends(self, size: int) -> bool:
+        """Whether a record of ``size`` bytes would end with its mark, looked up ahead where the stream can seek."""
+        if len(self.data) >= size + 4 or self.done or not self.stream.seekable():
+            return True
+        back = self.stream.tell()
+        try:
+            self.stream.seek(self.at + size)
+            mark = self.stream.read(4)
+        finally:
+            self.stream.seek(back)
+        return bytes(mark) == b"\r\n\r\n"
+
     def skip(self, size: int) -> None:
         del self.data[:size]
         self.at += size
@@ -163,6 +196,9 @@ def _plain_record(data: bytes | bytearray, source: _Source | None = None):
     if not re.fullmatch("[0-9]{1,12}", length) or int(length) > MAX_RECORD:
         return "bad Content-Length"
     size = end + 4 + int(length)
+    # A damaged length must not make the reader take in what isn't a record.
+    if source and not source.ends(size):
+        return "record does not end where its length says"
     if not need(size + 4) and not need(size):
         return "record is cut off"
     block = bytes(look[end + 4 : size])
@@ -251,7 +287,7 @@ def read_archives(files: DataFrame, path: str, payloads: bool = True) -> DataFra
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                with fs.open_input_file(f"{root}/{name}") as stream:
                     for kind, offset, a, b in salvage(stream):
                         row = {"file": name, "offset": offset, "kind": kind}
                         if kind == "gap":
@@ -289,8 +325,9 @@ def op4_warc(pages: DataFrame) -> DataFrame:
 
 
 OP4_SQL = f"""
-with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
-g as (select *, count(*) over (partition by html) as copies, min(page_id) over (partition by html) as first from p),
-r as (select *, n >= {MIN_REVISIT} and copies > 1 and first is not null and page_id is distinct from first as revisit from g)
+with p as (select page_id, url, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
+g as (select *, count(*) over (partition by html) as copies, min(page_id) over (partition by html) as first,
+        row_number() over (partition by html order by page_id nulls last, url nulls first) as place from p),
+r as (select *, n >= {MIN_REVISIT} and copies > 1 and first is not null and place > 1 as revisit from g)
 select page_id, n::bigint as payload_bytes, sha256(html) as payload_digest,
   case when revisit then 'revisit' else 'response' end as record_type, case when revisit then first end as refers_to from r"""
