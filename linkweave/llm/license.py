@@ -7,35 +7,51 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, filled, row_key
+from .common import ascii_lower, filled, let, row_key
 
 THRESHOLD = 0.8
 
-# Customary notices of public licences, by SPDX identifier.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+_MIT_END = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"""
+_BSD_2 = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+_APACHE_END = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GNU = """This program is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."""
+_GNU_END = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name}General Public License for more details."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain."""
+_UNLICENSE_MORE = """Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+
+
+def _gnu(version: str, name: str = "") -> list[str]:
+    first = _GNU.format(colon=":", comma=",", name=name, version=version)
+    return [f"This work is licensed under the GNU {name}General Public License, version {version}.", first, f"{first} {_GNU_END.format(name=name)}"]
+
+
+# Customary notices and short full texts of public licences, by SPDX identifier.
 NOTICES = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", _APACHE, f"{_APACHE} {_APACHE_END}"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", _MIT, f"{_MIT} {_MIT_END}"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", f"{_BSD} {_BSD_2}", f"{_BSD} {_BSD_2} {_BSD_END}"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", _BSD, f"{_BSD} {_BSD_2} {_BSD_3}", f"{_BSD} {_BSD_2} {_BSD_3} {_BSD_END}"],
+    "ISC": [f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}"],
+    "0BSD": [f"{_ISC}. {_ISC_END}"],
+    "Zlib": [_ZLIB],
+    "GPL-3.0": _gnu("3"),
+    "GPL-2.0": _gnu("2"),
+    "LGPL-3.0": _gnu("3", "Lesser "),
+    "LGPL-2.1": _gnu("2.1", "Lesser "),
+    "AGPL-3.0": _gnu("3", "Affero "),
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Unlicense": [_UNLICENSE, f"{_UNLICENSE} {_UNLICENSE_MORE}"],
 }
 
 
@@ -60,14 +76,33 @@ def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[float, float]:
 
 
 def normalised(text: Column) -> Column:
-    """A-Z lowered; every run of anything but ASCII letters and digits is one space."""
-    return F.trim(F.regexp_replace(ascii_lower(text), "[^a-z0-9]+", " "))
+    """A-Z lowered; every run of anything but ASCII letters and digits is one space, and where it has line ends, those alone."""
+    return F.regexp_replace(F.regexp_replace(ascii_lower(text), "[^a-z0-9\n]+", " "), " ?(\n) ?", "$1")
+
+
+def units(body: Column) -> Column:
+    """(unit, line) of a text: 0 is the whole, from 1 on its lines, from -1 down its paragraphs of two lines or more.
+
+    A paragraph is a run of lines with words, and so are two in a row: that takes in a notice
+    that is wrapped, and one whose conditions stand in a paragraph of their own.
+    """
+
+    def of(clean):
+        flat = lambda x: F.trim(F.translate(x, "\n", " "))
+        lines = F.transform(F.split(clean, "\n", -1), lambda x, i: F.struct((i + 1).alias("unit"), F.trim(x).alias("line")))
+        parts = F.filter(F.split(clean, "\n\n+", -1), lambda x: F.trim(F.translate(x, "\n", " ")) != "")
+        each = let(parts, lambda p: F.concat(F.transform(p, lambda x: F.struct(F.contains(F.trim(x, F.lit("\n")), F.lit("\n")).alias("long"), flat(x).alias("line"))), F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.size(p)), lambda x, y: F.struct(F.lit(True).alias("long"), F.concat_ws(" ", flat(x), flat(y)).alias("line")))))
+        paragraphs = F.transform(F.filter(F.transform(each, lambda x, i: F.struct((-1 - i).alias("unit"), x["line"].alias("line"), x["long"].alias("long"))), lambda x: x["long"]), lambda x: F.struct(x["unit"].alias("unit"), x["line"].alias("line")))
+        return F.concat(F.array(F.struct(F.lit(0).alias("unit"), F.regexp_replace(flat(clean), " +", " ").alias("line"))), lines, paragraphs)
+
+    return let(normalised(body), of)
 
 
 def licence_matches(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """(doc_id, key, unit, licence, dice) of the units of a text that match a licence template.
 
-    Units are the lines with words (unit: their number from 1) and the whole text (unit 0).
+    Units (:func:`units`) are lines, paragraphs, pairs of paragraphs and the whole text. A notice inside a
+    longer line or paragraph is found only as far as that unit's size allows. Other columns are not read.
     Dice is over the multisets of bigrams: twice the shared count over both sizes. A unit
     is compared with a template only if their sizes allow the threshold and they share a bigram;
     the best licence of a unit counts, the first in code-point order of equals. Null and
@@ -78,12 +113,10 @@ def licence_matches(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
     table = spark.createDataFrame([(*r, *size_bounds(r[2], threshold)) for r in templates()], "licence string, form int, size int, bigram string, n_t int, lo double, hi double")
     least, most = (min(size_bounds(r[2], threshold)[0] for r in templates()), max(size_bounds(r[2], threshold)[1] for r in templates()))
     body = filled(text)
-    whole = F.array(normalised(body))
-    lines = F.transform(F.split(body, "\n", -1), normalised)
-    units = docs.select("doc_id", row_key(body).alias("key"), F.posexplode(F.concat(whole, lines)).alias("unit", "line"))
-    units = units.withColumn("size_u", F.length("line") - F.length(F.translate("line", " ", "")))
-    units = units.where(F.col("size_u").between(least, most) & (F.col("line") != ""))
-    words = units.select("doc_id", "key", "unit", "size_u", F.split("line", " ").alias("w"))
+    parts = docs.select("doc_id", row_key(body).alias("key"), F.inline(units(body)).alias("unit", "line"))
+    parts = parts.withColumn("size_u", F.length("line") - F.length(F.translate("line", " ", "")))
+    parts = parts.where(F.col("size_u").between(least, most) & (F.col("line") != ""))
+    words = parts.select("doc_id", "key", "unit", "size_u", F.split("line", " ").alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
     bigrams = words.select("doc_id", "key", "unit", "size_u", F.explode(pairs).alias("bigram"))
     met = bigrams.join(F.broadcast(table), "bigram").where("size_u between lo and hi")
@@ -101,13 +134,19 @@ def op3_license_scan(docs: DataFrame) -> DataFrame:
 
 def _sql() -> str:
     rows = ", ".join(f"('{lic}', {form}, {size}, '{pair}', {n}, {size_bounds(size)[0]!r}, {size_bounds(size)[1]!r})" for lic, form, size, pair, n in templates())
-    norm = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    norm = "regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\n]+', ' ', 'g'), ' ?(\n) ?', '\\1', 'g')"
+    flat = "trim(replace({}, chr(10), ' '))"
     return f"""
 with t(licence, form, size, bigram, n_t, lo, hi) as (values {rows}),
 d as (select distinct doc_id, coalesce(text, '') as text from documents),
-u as (select doc_id, text, 0 as unit, {norm.format('text')} as line from d
-      union all select doc_id, text, pos, {norm.format('line')} from
-        (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d)),
+n as (select doc_id, text, {norm} as clean from d),
+q as (select doc_id, text, clean, list_filter(string_split_regex(clean, '\n\n+'), lambda x: {flat.format('x')} <> '') as p from n),
+e as (select doc_id, text, unnest(p) as x, generate_subscripts(p, 1) as i, len(p) as m, p from q),
+u as (select doc_id, text, 0 as unit, regexp_replace({flat.format('clean')}, ' +', ' ', 'g') as line from n
+      union all select doc_id, text, i, trim(line) from
+        (select doc_id, text, unnest(string_split(clean, chr(10))) as line, generate_subscripts(string_split(clean, chr(10)), 1) as i from n)
+      union all select doc_id, text, -i, {flat.format('x')} from e where contains(trim(x, chr(10)), chr(10))
+      union all select doc_id, text, -(m + i), {flat.format('x')} || ' ' || {flat.format('p[i + 1]')} from e where i < m),
 w as (select doc_id, text, unit, string_split(line, ' ') as w from u where line <> ''),
 b as (select doc_id, text, unit, len(w) - 1 as size_u, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as bigram from w),
 c as (select doc_id, text, unit, size_u, licence, form, size, bigram, n_t, count(*) as n_u from b join t using (bigram)
