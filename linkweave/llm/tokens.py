@@ -10,6 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import filled
 
@@ -111,8 +112,8 @@ def token_counts(docs: DataFrame, vocabulary: list[str] | None = None, text: str
                 rows.append((words, pieces, unknown))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], ["doc_id", "n_words", "n_pieces", "n_unknown"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_words long, n_pieces long, n_unknown long")
+    source = docs.select("doc_id", filled(text).alias("text"))
+    return source.mapInArrow(run, StructType([source.schema["doc_id"], *StructType.fromDDL("n_words long, n_pieces long, n_unknown long").fields]))
 
 
 _built: dict[int, Automaton] = {}

@@ -91,10 +91,23 @@ def test_licence_lines(spark):
     rows = [(1, f"some text here\n{gpl.upper()}"), (2, "Released under the MIT License."), (3, "Released today under MIT"), (4, None), (5, ""), (6, "word"), (2, "Released under the MIT License."), (7, license.NOTICES["MIT"][2].replace(", ", ",\n"))]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, licence string")
     got = sorted(tuple(r) for r in license.op3_license_scan(docs).collect())
-    assert got == [(1, 2, "GPL-3.0", 1.0), (2, 0, "MIT", 1.0), (2, 1, "MIT", 1.0), (7, 0, "MIT", 1.0)] or [g for g in got if g[:2] != (1, 0)] == [(1, 2, "GPL-3.0", 1.0), (2, 0, "MIT", 1.0), (2, 1, "MIT", 1.0), (7, 0, "MIT", 1.0)]
+    assert got == [(1, -1, "GPL-3.0", 0.88), (1, 0, "GPL-3.0", 0.88), (1, 2, "GPL-3.0", 1.0), (2, 0, "MIT", 1.0), (2, 1, "MIT", 1.0), (7, -1, "MIT", 1.0), (7, 0, "MIT", 1.0)]
     assert license.op3_license_scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licences_in_longer_texts(spark):
+    import textwrap
+
+    whole = license.NOTICES["MIT"][-1]
+    cut = whole.index("The above copyright")
+    wrapped = "\n\n".join(textwrap.fill(x, 78) for x in ("Copyright 2020 The Someone", whole[:cut], whole[cut:]))
+    prose = "\n".join(" ".join(f"w{i * 12 + j}" for j in range(12)) for i in range(60))
+    apache = textwrap.indent(textwrap.fill(license.NOTICES["Apache-2.0"][1], 70), "# ")
+    rows = [(1, f"{prose}\n\n{wrapped}\n\n{prose}"), (2, f"{prose}\n\n{apache}\n\n{prose}"), (3, prose), (4, "\n" * 50_000 + "x y\n" * 50_000)]
+    got = {(r.doc_id, r.licence): r.dice for r in license.licence_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.unit < 0}
+    assert got.keys() == {(1, "MIT"), (2, "Apache-2.0")} and min(got.values()) > 0.95
+
+
 def test_boilerplate_lines_go_and_copies_stay(spark):
     rows = [(i, f"own {i} words of this page here\nSITE NAV\n\nmore {i} of it", f"s{i % 7}") for i in range(14)]
     rows += [(100 + i, "a copied page\nof two lines", f"s{i % 9}") for i in range(9)] + [(200, None, "s1"), (201, "", None), (202, "SITE NAV", None)]
@@ -169,21 +182,24 @@ def test_contained_items_match_brute_force(spark):
             at = rng.randint(0, len(body))
             body[at:at] = part
         rows.append((k, " ".join(body)))
+    items += [(40, "short one"), (41, "a b c d"), (42, "Solo"), (43, "five words make one shingle")]
+    rows += [(500, f"x y Short\nOne z {items[7][1]}"), (501, "a b c e d"), (502, "it is a b c d"), (503, "solo"), (504, "five words make one shingle")]
     rows += [(3, rows[3][1]), (3, rows[5][1]), (None, rows[7][1]), (900, None)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
 
-    def shingles(t):
+    def shingles(t, k=5):
         w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    of = [(i, s) for i, t in items if (s := shingles(t))]
-    want = {(d, i) for d, t in rows for s in [shingles(t)] for i, x in of if len(x & s) >= 0.8 * len(x)}
+    of = [(i, k, shingles(t, k)) for i, t in items if (k := min(5, len((t or "").split())))]
+    hits = [(n, d, i) for n, (d, t) in enumerate(rows) for i, k, x in of if len(x & shingles(t, k)) >= 0.8 * len(x)]
+    want = {(d, i) for _, d, i in hits}
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.op10_decontamination(docs, bench).collect()}
     assert got == want and len(want) > 40
     left = decontam.drop_contaminated(docs, bench)
     assert left.columns == docs.columns
-    assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(d) for d, _ in rows if d not in {x for x, _ in want})
+    assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(d) for n, (d, _) in enumerate(rows) if n not in {x for x, _, _ in hits})
     assert decontam.op10_decontamination(docs, bench.limit(0)).count() == 0
 
 
@@ -193,10 +209,10 @@ def test_preferences_share_the_prompt_once(spark):
     kind = "conv_id long, turn long, role string, text string"
     got = {r.pair: r for r in chat.format_preferences(spark.createDataFrame(chosen, kind), spark.createDataFrame(rejected, kind)).collect()}
     t = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
-    assert tuple(got[1])[1:] == (t("user", "q"), t("assistant", "good"), t("assistant", "bad") + t("user", "?"))
-    assert tuple(got[2])[1:] == (t("user", "x"), t("assistant", "y"), "")
-    assert tuple(got[3])[1:] == (t("user", ""), "", "")
-    assert tuple(got[4])[1:] == ("", t("a", "only"), "")
+    assert tuple(got[1])[1:4] == (t("user", "q"), t("assistant", "good"), t("assistant", "bad") + t("user", "?"))
+    assert tuple(got[2])[1:4] == (t("user", "x"), t("assistant", "y"), "")
+    assert tuple(got[3])[1:4] == (t("user", ""), "", "")
+    assert tuple(got[4])[1:4] == ("", t("a", "only"), "")
     assert chat.op7_preferences(spark.createDataFrame(chosen, kind).limit(0)).count() == 0
 
 
