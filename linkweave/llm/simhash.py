@@ -297,9 +297,9 @@ def _groups(kinds: DataFrame) -> DataFrame:
     """(hub, node): groups of texts, such that any two texts that share a bucket share a group.
 
     Buckets are the bands' keys and the components of fingerprints within two bits. The
-    hub of a bucket is the member that meets the most texts in all its buckets. Nearly all buckets of a
-    large group of copies have members with one and the same heaviest hub; these go into that hub's group,
-    the others form one with their own hub.
+    hub of a bucket is the member that meets the most texts in all its buckets; a bucket goes into the
+    group of the heaviest hub that any of its members meets. So nearly all buckets of a
+    large family of copies share one group, and a text is in few.
     """
     labels = connected_components(hamming_links(kinds.select("fp").distinct()))
     alike = kinds.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key"), "node")
@@ -310,8 +310,7 @@ def _groups(kinds: DataFrame) -> DataFrame:
     hubs = members.join(weights, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("hub"))
     met = written(members.join(hubs, ["band", "key"]).select("band", "key", "node", "hub"), "met")
     heaviest = met.groupBy("node").agg(F.max("hub").alias("heaviest"))
-    placed = met.join(heaviest, "node").groupBy("band", "key").agg(F.min("heaviest.node").alias("lo"), F.max("heaviest.node").alias("hi"), F.max("hub.node").alias("own"))
-    placed = placed.select("band", "key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("own")).alias("hub"))
+    placed = met.join(heaviest, "node").groupBy("band", "key").agg(F.max("heaviest").alias("m")).select("band", "key", F.col("m.node").alias("hub"))
     return written(met.select("band", "key", "node").join(placed, ["band", "key"]).select("hub", "node").where("hub <> node").distinct(), "groups")
 
 
