@@ -66,7 +66,7 @@ def candidate_metrics(entities: DataFrame, candidates: DataFrame, truth: DataFra
     out = scored.join(ideal, "s1").agg(
         F.sum("n_true").alias("pairs_true"), (F.sum("tp") / F.greatest(F.sum("n_true"), F.lit(1))).alias("pair_recall"),
         F.avg(F.when(F.col("n_true") > 0, (F.col("tp") == F.col("n_true")).cast("double"))).alias("s1_full_cover"), F.avg("oracle").alias("oracle_macro_f05"),
-        F.sum("n_pred").alias("cand_pairs"), F.avg("n_pred").alias("cand_per_s1_mean"), F.percentile("n_pred", 0.9).alias("cand_per_s1_p90"), F.max("n_pred").alias("cand_per_s1_max"),
+        F.sum("n_pred").alias("cand_pairs"), F.avg("n_pred").alias("cand_per_s1_mean"), F.expr("percentile_disc(0.9) within group (order by n_pred)").alias("cand_per_s1_p90"), F.max("n_pred").alias("cand_per_s1_max"),
     )
     if targets is None:
         return out
@@ -77,11 +77,11 @@ def candidate_metrics(entities: DataFrame, candidates: DataFrame, truth: DataFra
 
 def strata_report(entities: DataFrame, columns: list[str]) -> DataFrame:
     """n, macro F0.5, loss, its share of all loss, false positives and negatives by each of ``columns``, in one pass."""
-    names, blank = ", ".join(columns), ", ".join(f"({c})" for c in columns)
-    entities.createOrReplaceTempView("__strata")
-    loss = f"""select {names}, grouping_id({names}) as level, count(*) as n, avg(f) as macro_f05, sum(1 - f) as loss,
-        sum(n_pred - tp) as fp, sum(n_true - tp) as fn from __strata group by grouping sets ({blank}, ())"""
-    out = entities.sparkSession.sql(loss)
+    sets = [[F.col(c)] for c in columns] + [[]]
+    out = entities.groupingSets(sets, *[F.col(c) for c in columns]).agg(
+        F.grouping_id(*columns).alias("level"), F.count("*").alias("n"), F.avg("f").alias("macro_f05"), F.sum(1 - F.col("f")).alias("loss"),
+        F.sum(F.col("n_pred") - F.col("tp")).alias("fp"), F.sum(F.col("n_true") - F.col("tp")).alias("fn"),
+    )
     value = F.coalesce(*[F.col(c).cast("string") for c in columns], F.lit(""))
     every = (1 << len(columns)) - 1
     kind = F.lit("all")

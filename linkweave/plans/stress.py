@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.operators.decide import expected_f_select, prior_shift, single_owner
+from linkweave.operators.decide import apply_policy
 from linkweave.operators.evaluate import per_entity
 
 
@@ -14,18 +16,25 @@ def hash_share(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def injection(scores: DataFrame, truth: DataFrame, entities: DataFrame, levels=(0.0, 0.2, 0.3), evaluate_share: float = 0.3, shift: float = 1.0, missed: float = 0.1, seed: int = 2026) -> DataFrame:
-    """(level, s1, n_true, n_pred, tp, f) of the evaluated entities at each hide level.
+def injection(
+    scores: DataFrame, truth: DataFrame, entities: DataFrame, levels=(0.0, 0.2, 0.3), evaluate_share: float = 0.3, shifts=(1.0,), seed: int = 2026,
+    rescore: Callable[[DataFrame], DataFrame] | None = None, policy: str = "dta_own", **options,
+) -> DataFrame:
+    """(level, shift, s1, n_true, n_pred, tp, f) of the evaluated entities at each hide level and shift.
 
-    Owners are settled over all claims that are left; only then are the evaluated entities chosen.
-    """
+    With part of the entities hidden, ``rescore`` gives the claims that are left new scores: for a model whose
+    features count competition, they have to be computed again (as competition and claim_context do)
+    from what is left. Owners are settled over all these claims; only then are the evaluated entities chosen.
+    """
     chosen = entities.where(hash_share("s1", seed + 7) < evaluate_share)
     out = None
     for level in levels:
         hidden = entities.join(chosen, "s1", "left_anti").where(hash_share("s1", seed + 8) < level)
         left = scores.join(hidden, "s1", "left_anti")
-        owned = single_owner(prior_shift(left, shift).where("p > 1e-4"))
-        picked = expected_f_select(owned.join(chosen, "s1", "left_semi"), missed)
-        rows = per_entity(chosen, picked.select("s1", "t"), truth.join(chosen, "s1", "left_semi")).withColumn("level", F.lit(level))
-        out = rows if out is None else out.unionByName(rows)
+        left = rescore(left) if rescore else left
+        for shift in shifts:
+            picked = apply_policy(left, policy, shift=shift, **options).join(chosen, "s1", "left_semi")
+            rows = per_entity(chosen, picked.select("s1", "t"), truth.join(chosen, "s1", "left_semi"))
+            rows = rows.withColumns({"level": F.lit(level), "shift": F.lit(shift)})
+            out = rows if out is None else out.unionByName(rows)
     return out

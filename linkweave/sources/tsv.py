@@ -43,6 +43,9 @@ def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     pairs = df.select(F.col("source1_entity_id").alias("s1_id"), F.explode(F.split("matched_entity_ids", ",")).alias("t_id")).where("t_id <> ''")
     rows, ids = df.agg(F.count("*"), F.count_distinct("source1_entity_id")).first()
     n, distinct = pairs.agg(F.count("*"), F.count_distinct("s1_id", "t_id")).first()
+    lines = count_data_lines(spark, path)
+    if rows != lines:
+        raise ValueError(f"{path}: {rows} rows of {lines} lines")
     if rows != ids or n != distinct:
         raise ValueError(f"{path}: {rows - ids} repeated entities, {n - distinct} repeated matches")
     return df.select(F.col("source1_entity_id").alias("s1_id")), pairs
