@@ -358,12 +358,17 @@ def _links_off_hub(rest: DataFrame, share: float) -> DataFrame:
     able = common.join(farthest, "hub").where(F.col("excess") <= F.when(F.col("component") == F.col("main"), F.col("off_reach")).otherwise(F.col("any_reach")) + 1e-6)
     able = written(able.select("hub", "node", "component", "main", "size", "excess", "reach", "must", F.transform("common", lambda x: x["shingle"]).alias("common")), "able")
 
-    keys = able.select("hub", "node", "component", "main", "size", "excess", "reach", F.explode(F.expr("slice(common, 1, size(common) - must + 1)")).alias("shingle"))
-    x = keys.where("component <> main").drop("main")
-    y = keys.select("hub", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "size", "excess", "reach")], (F.col("component") == F.col("main")).alias("in_main"))
+    # Of a pair, the text of less excess is looked up by the other: both share its own excess or more.
+    side = ["node", "component", "size", "excess", "reach", "in_main"]
+    held = able.withColumn("in_main", F.col("component") == F.col("main")).withColumn("first", F.greatest("must", F.ceil(F.col("excess") - 1e-6)))
+    keys = lambda df, must, tag: df.select("hub", *[F.col(c).alias(f"{c}{tag}") for c in side], F.explode(F.expr(f"slice(common, 1, greatest(0, size(common) - {must} + 1))")).alias("shingle"))
+    indexed, asking = keys(held, "first", ""), keys(held, "must", "_y")
     similar = (F.col("size") >= F.col("size_y") * ((1 - share) / (1 + share)) - 1e-6) & (F.col("size_y") >= F.col("size") * ((1 - share) / (1 + share)) - 1e-6)
     reached = (F.col("excess") <= F.col("reach_y") + 1e-6) & (F.col("excess_y") <= F.col("reach") + 1e-6) & (F.col("excess") + F.col("excess_y") > 1e-6)
-    pairs = x.join(y, ["hub", "shingle"]).where((F.col("component") != F.col("component_y")) & (F.col("in_main") | (F.col("node") < F.col("node_y"))) & similar & reached)
+    ordered = (F.col("excess") < F.col("excess_y")) | ((F.col("excess") == F.col("excess_y")) & (F.col("node") < F.col("node_y")))
+    meet = lambda x, y: x.join(y, ["hub", "shingle"]).where((F.col("component") != F.col("component_y")) & ordered & similar & reached)
+    # Two texts of the main component never meet.
+    pairs = meet(indexed, asking.where("not in_main_y")).unionByName(meet(indexed.where("not in_main"), asking.where("in_main_y")))
     pairs = written(pairs.select("hub", "node", "node_y", "excess", "excess_y").distinct(), "pairs")
     held = pairs.join(able.select("hub", "node", "common"), ["hub", "node"]).join(able.select("hub", F.col("node").alias("node_y"), F.col("common").alias("common_y")), ["hub", "node_y"])
     found = held.where(2 * F.size(F.array_intersect("common", "common_y")) >= F.col("excess") + F.col("excess_y") - 1e-6)
