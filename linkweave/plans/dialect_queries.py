@@ -58,7 +58,8 @@ def q_dialect_skeletons(spark, sf):
 
 
 def q_golden_folds(spark, sf):
-    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", dialect.fold_of(F.col("o_orderkey")).alias("fold"), dialect.fold_of(F.col("o_orderkey") * 1_000_003_000_007).alias("far_fold"))
+    far = F.col("o_orderkey").cast("decimal(20,0)") * F.lit(1_000_003_000_007).cast("decimal(13,0)")  # beyond a long from the key 9,223,345 on
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", dialect.fold_of(F.col("o_orderkey")).alias("fold"), dialect.fold_of(far).alias("far_fold"))
 
 
 def _rows(columns: str, table: dict, casts: str) -> str:

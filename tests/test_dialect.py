@@ -26,6 +26,20 @@ def test_folds_of_any_key(spark):
     assert {r.k: r.f for r in got} == {k: ((k % 2**64) * 0x9E3779B97F4A7C15 % 2**64 >> 33) % 5 for k in keys}
 
 
+# The quotients of the first keys lie so close below a whole number that six decimals round them up; far keys of the last two exceed a long.
+@pytest.mark.parametrize("keys", [[0, 1105187, 2033611, 4648319], [9223344, 9223345, 14_000_000]])
+def test_golden_folds_of_large_keys(spark, tmp_path, keys):
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(dialect_queries.SQL["golden_folds"]).fetchall()
+    assert sorted(map(tuple, dialect_queries.q_golden_folds(spark, f"file://{tmp_path}").collect())) == sorted(want)
+    far = (-F.col("k").cast("decimal(20,0)")) * F.lit("1000000000000").cast("decimal(13,0)")
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", fold_of(F.col("k"), 7).alias("f"), fold_of(far).alias("g")).collect()
+    fold = lambda k, n: (k % 2**64 * 0x9E3779B97F4A7C15 % 2**64 >> 33) % n
+    assert {r.k: (r.f, r.g) for r in got} == {k: (fold(k, 7), fold(-k * 10**12, 5)) for k in keys}
+
+
 def test_legal_words_by_place():
     assert dialect_name("Co Tide").core == "tide" and dialect_name("Tide Co Reef").core == "tide co reef"
     assert dialect_name("Tide SA Co Ltd Reef").core == "tide sa reef" and dialect_name("Tide Ltd SA Co Reef").core == "tide reef"
