@@ -17,11 +17,16 @@ def _best_first() -> Window:
     return Window.partitionBy("s1").orderBy(F.col("p").desc(), "t")
 
 
-def prior_shift(scores: DataFrame, r: float) -> DataFrame:
-    """Odds times r."""
+def through_odds(scores: DataFrame, r: float) -> DataFrame:
+    """Odds times r; at r = 1 p comes back, but for its last bits."""
     p = F.col("p")
     odds = r * p / F.greatest(1 - p, F.lit(1e-12))
-    return scores if r == 1 else scores.withColumn("p", odds / (1 + odds))
+    return scores.withColumn("p", odds / (1 + odds))
+
+
+def prior_shift(scores: DataFrame, r: float) -> DataFrame:
+    """Odds times r; p as it is at r = 1."""
+    return scores if r == 1 else through_odds(scores, r)
 
 
 def single_owner(scores: DataFrame) -> DataFrame:
@@ -95,7 +100,11 @@ def expected_f_select(scores: DataFrame, missed: float, top: int = 12) -> DataFr
 
 def apply_policy(scores: DataFrame, kind: str, tau: float = 0.5, rho: float = 0.0, missed: float = 0.0, shift: float = 1.0) -> DataFrame:
     """Drop p <= 1e-4, shift, then eum (hard owner, threshold), dta, dta_own or dta_hard."""
-    shifted = prior_shift(scores.where("p > 1e-4"), shift)
+    return select_by(prior_shift(scores.where("p > 1e-4"), shift), kind, tau, rho, missed)
+
+
+def select_by(shifted: DataFrame, kind: str, tau: float = 0.5, rho: float = 0.0, missed: float = 0.0) -> DataFrame:
+    """The policies of :func:`apply_policy` on scores that are shifted already."""
     if kind == "eum":
         return threshold_select(hard_owner(shifted), tau, rho)
     owned = {"dta": lambda d: d, "dta_own": single_owner, "dta_hard": hard_owner}[kind](shifted)

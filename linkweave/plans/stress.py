@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.operators.decide import apply_policy
+from linkweave.operators.decide import select_by, through_odds
 from linkweave.operators.evaluate import per_entity
 
 
@@ -25,6 +25,8 @@ def injection(
     With part of the entities hidden, ``rescore`` gives the claims that are left new scores: for a model whose
     features count competition, they have to be computed again (as competition and claim_context do)
     from what is left. Owners are settled over all these claims; only then are the evaluated entities chosen.
+    At every shift, 1 included, p goes through its odds: where a score lies at just ``rho`` of the best,
+    its last bits decide, and so shifts are compared under one rounding.
     """
     chosen = entities.where(hash_share("s1", seed + 7) < evaluate_share)
     out = None
@@ -33,7 +35,7 @@ def injection(
         left = scores.join(hidden, "s1", "left_anti")
         left = rescore(left) if rescore else left
         for shift in shifts:
-            picked = apply_policy(left, policy, shift=shift, **options).join(chosen, "s1", "left_semi")
+            picked = select_by(through_odds(left.where("p > 1e-4"), shift), policy, **options).join(chosen, "s1", "left_semi")
             rows = per_entity(chosen, picked.select("s1", "t"), truth.join(chosen, "s1", "left_semi"))
             rows = rows.withColumns({"level": F.lit(level), "shift": F.lit(shift)})
             out = rows if out is None else out.unionByName(rows)

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 
 from linkweave.operators import stack
@@ -74,6 +75,19 @@ def test_grid_and_injection(spark):
     assert halved.agg({"n_pred": "sum"}).first()[0] == 0
 
 
+def test_injection_agrees_with_sql_at_the_bound(spark, tmp_path):
+    """Orders whose second quantity is at just 0.8 of the first, where the last bits of p decide."""
+    lines = [(k, 2 * k + i, float(q), "R") for k in range(200) for i, q in enumerate((5 * (k % 4 + 7), 4 * (k % 4 + 7)))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string").coalesce(1).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "O", "1") for k in range(200)], "o_orderkey long, o_orderstatus string, o_orderpriority string").coalesce(1).write.parquet(f"file://{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for table in ("lineitem", "orders"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.execute(SQL["injection"])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(tuple, QUERIES["injection"](spark, f"file://{tmp_path}").select(*columns).collect())) == sorted(want.fetchall())
+
+
 def test_siblings_by_hand(spark):
     rows = [(1, 10, 0.9, 0, "oak dairy", "dairy oak", "elm"), (1, 11, 0.5, 1, "oak dairy", "dairy oak", "elm"), (1, 12, 0.1, 2, "fern", "fern", ""), (2, 10, 0.4, 0, "oak dairy", "dairy oak", "elm")]
     out = stack.siblings(spark.createDataFrame(rows, "s1 long, t long, p double, s_rank int, t_core string, t_core_key string, t_addr_toks string"))
