@@ -22,20 +22,38 @@ _SPACE = "\t\n\x0b\f\r "
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
 
 
-def _repeat_words(words: Column) -> Column:
+#: A window's place takes so many low bits beside the high ones of its hash. Longer texts, and texts with windows of equal high bits that differ, are searched by the windows themselves.
+PLACE_BITS = 20
+
+
+def _covered(starts: Column) -> Column:
+    """Number of words in the 3-word windows that start at these places."""
+    return F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(starts), lambda i: F.array(i, i + 1, i + 2)))))
+
+
+def _repeat_words(words: Column, place_bits: int = PLACE_BITS) -> Column:
     """Words covered by 3-word windows that occur twice or more.
 
-    Windows are told apart by a 64-bit hash first; only texts with equal hashes compare
-    the windows themselves, by sorting them, hash first, next to their equals.
+    Windows are told apart by a 64-bit hash first; only in texts with equal hashes are they sorted,
+    as one long each, and compared with their neighbours: with all windows of equal high bits
+    the same, these are all repeats. Else the windows are sorted as text, hash first.
     """
     at = lambda w: F.sequence(F.lit(1), F.size(w) - 2)
     hash_at = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
     hashes = lambda w: F.transform(at(w), lambda i: hash_at(w, i))
+    next_to = lambda s, both: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), both)
     windows = lambda w: F.sort_array(F.transform(at(w), lambda i: F.struct(hash_at(w, i).alias("h"), F.concat_ws(" ", F.slice(w, i, 3)).alias("w"), i.alias("i"))))
-    neighbours = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), lambda x, y: F.when((x["h"] == y["h"]) & (x["w"] == y["w"]), F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")))
-    starts = lambda w: F.array_distinct(F.flatten(let(windows(w), neighbours)))
-    covered = lambda w: F.size(F.array_distinct(F.flatten(F.transform(starts(w), lambda i: F.array(i, i + 1, i + 2)))))
-    return let(words, lambda w: F.when(F.size(w) < 4, 0).when(F.size(F.array_distinct(hashes(w))) == F.size(w) - 2, 0).otherwise(covered(w)))
+    equals = lambda s: next_to(s, lambda x, y: F.when((x["h"] == y["h"]) & (x["w"] == y["w"]), F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")))
+    by_text = lambda w: _covered(F.flatten(let(windows(w), equals)))
+
+    places = F.lit((1 << place_bits) - 1).cast("long")
+    place = lambda x: x.bitwiseAND(places).cast("int")
+    packed = lambda w: F.sort_array(F.transform(at(w), lambda i: hash_at(w, i).bitwiseAND(F.bitwise_not(places)).bitwiseOR(i.cast("long"))))
+    near = lambda s: F.filter(next_to(s, lambda x, y: F.when(x.bitwiseXOR(y).between(F.lit(0), places), F.array(place(x), place(y)))), lambda p: p.isNotNull())
+    word = lambda w, p, k, j: F.element_at(w, F.element_at(p, k) + j)
+    differ = lambda w, p: (word(w, p, 1, 0) != word(w, p, 2, 0)) | (word(w, p, 1, 1) != word(w, p, 2, 1)) | (word(w, p, 1, 2) != word(w, p, 2, 2))
+    by_hash = lambda w: let(let(packed(w), near), lambda n: F.when(F.exists(n, lambda p: differ(w, p)), by_text(w)).otherwise(_covered(F.flatten(n))))
+    return let(words, lambda w: F.when(F.size(w) < 4, 0).when(F.size(F.array_distinct(hashes(w))) == F.size(w) - 2, 0).when(F.size(w) >= 1 << place_bits, by_text(w)).otherwise(by_hash(w)))
 
 
 def base_columns(text: Column) -> dict[str, Column]:

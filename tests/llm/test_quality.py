@@ -41,6 +41,21 @@ def test_base_rules_match_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("place_bits", [3, 8, 60])
+def test_repeats_by_packed_hash_or_by_text(spark, place_bits):
+    """3 and 8: texts too long for the places go by text; 60: four bits of the hash, so that different windows meet as neighbours."""
+    from pyspark.sql import functions as F
+
+    from linkweave.llm.common import WORD
+    from linkweave.llm.quality import _repeat_words
+
+    rng = random.Random(5)
+    rows = [*texts()[:-2], *[" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in range(3, 120)]]
+    frame = spark.createDataFrame([(i, t or "") for i, t in enumerate(rows)], "i long, text string")
+    got = dict(map(tuple, frame.select("i", _repeat_words(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), place_bits)).collect()))
+    assert got == {i: brute(t)[4] for i, t in enumerate(rows)}
+
+
 def test_ratio_matches_brute_force_and_separates(spark):
     import math
     import re
