@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, filled, let, row_key
+from .common import filled, let, row_key
 
 THRESHOLD = 0.8
 
@@ -75,9 +76,56 @@ def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[float, float]:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+#: Words of the notices that any text may have: key words only where nothing else will do.
+_COMMON = frozenset("a all an and any are as at be being but by can do each for from if in into is it its may more must no non nor not of on one or other out see shall so such that the this to under use used was way will with work you your 0 1 2 3 4".split())
+
+
+def key_words(rows: list[tuple[str, int, int, str, int]], threshold: float = THRESHOLD) -> list[str]:
+    """Words, long ones first, of which each unit that matches one of these templates has one at least.
+
+    With s bigrams shared by sizes a >= s and b, 2 s / (a + b) >= t gives s >= b t / (2 - t). So if fewer
+    of a template's bigrams than that have none of the words, a match shares one that has. Half the
+    last digit that the coefficient is rounded to is taken off the threshold.
+    """
+    least = threshold - 1e-6
+    forms: dict[tuple[str, int], dict[str, int]] = {}
+    sizes: dict[tuple[str, int], int] = {}
+    for licence, form, size, bigram, n in rows:
+        forms.setdefault((licence, form), {})[bigram] = n
+        sizes[licence, form] = size
+    found: set[str] = set()
+    # Templates are done in turn, the shortest first; a word is worth the more, the longer it is and the more it covers of what is asked.
+    for at in sorted(forms, key=lambda k: (sizes[k], k)):
+        while rest := {b: n for b, n in forms[at].items() if not found & set(b.split())}:
+            asked = sum(rest.values()) - least / (2 - least) * sizes[at]
+            if asked < 0:
+                break
+            covers = Counter()
+            for bigram, n in rest.items():
+                covers.update(dict.fromkeys(bigram.split(), n))
+            worth = {w: min(n, math.floor(asked) + 1) * min(len(w), 8) ** 2 / (1000 if w in _COMMON else 1) for w, n in covers.items()}
+            found.add(min(worth, key=lambda w: (-worth[w], w)))
+    return sorted(found, key=lambda w: (-len(w), w))
+
+
+def has_word(text: Column, words: list[str]) -> Column:
+    """Whether one of the words (a-z, 0-9) stands in the text, A-Z lowered, between anything but ASCII letters and digits.
+
+    The first letters come as one class, which most places of a text fail, then the others by the second
+    letter. So a word may also begin with another's first letter, which lets more through, never less.
+    """
+    seconds: dict[str, list[str]] = {}
+    for word in words:
+        seconds.setdefault(word[1:2], []).append(word[2:])
+    rest = "|".join(f"{second}(?:{'|'.join(dict.fromkeys(ends))})" for second, ends in sorted(seconds.items(), reverse=True))
+    return text.rlike(f"(?i)[{''.join(sorted({w[0] for w in words}))}](?<![a-z0-9].)(?:{rest})(?![a-z0-9])")
+
+
 def normalised(text: Column) -> Column:
     """A-Z lowered; every run of anything but ASCII letters and digits is one space, and where it has line ends, those alone."""
-    return F.regexp_replace(F.regexp_replace(ascii_lower(text), "[^a-z0-9\n]+", " "), " ?(\n) ?", "$1")
+    # What is left is ASCII, where lower() is A-Z's alone.
+    clean = F.lower(F.regexp_replace(text, "[^A-Za-z0-9\n]+", " "))
+    return F.replace(F.replace(clean, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
 
 
 def units(body: Column) -> Column:
@@ -104,18 +152,19 @@ def licence_matches(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
     Units (:func:`units`) are lines, paragraphs, pairs of paragraphs and the whole text. A notice inside a
     longer line or paragraph is found only as far as that unit's size allows. Other columns are not read.
     Dice is over the multisets of bigrams: twice the shared count over both sizes. A unit
-    is compared with a template only if their sizes allow the threshold and they share a bigram;
-    the best licence of a unit counts, the first in code-point order of equals. Null and
+    is compared with a template only if their sizes allow the threshold and they share a bigram,
+    for which texts and units without any of :func:`key_words` are passed over: they match nothing. The best
+    licence of a unit counts, the first in code-point order of equals. Null and
     empty texts and units of one word have no bigram and no match; repeated rows are one.
     """
     spark = docs.sparkSession
     # The templates are a fixed table of this module, a few hundred rows.
     table = spark.createDataFrame([(*r, *size_bounds(r[2], threshold)) for r in templates()], "licence string, form int, size int, bigram string, n_t int, lo double, hi double")
     least, most = (min(size_bounds(r[2], threshold)[0] for r in templates()), max(size_bounds(r[2], threshold)[1] for r in templates()))
-    body = filled(text)
-    parts = docs.select("doc_id", row_key(body).alias("key"), F.inline(units(body)).alias("unit", "line"))
+    body, needed = filled(text), key_words(templates(), threshold)
+    parts = docs.where(has_word(body, needed)).select("doc_id", row_key(body).alias("key"), F.inline(units(body)).alias("unit", "line"))
     parts = parts.withColumn("size_u", F.length("line") - F.length(F.translate("line", " ", "")))
-    parts = parts.where(F.col("size_u").between(least, most) & (F.col("line") != ""))
+    parts = parts.where(F.col("size_u").between(least, most) & (F.col("line") != "") & has_word(F.col("line"), needed))
     words = parts.select("doc_id", "key", "unit", "size_u", F.split("line", " ").alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
     bigrams = words.select("doc_id", "key", "unit", "size_u", F.explode(pairs).alias("bigram"))

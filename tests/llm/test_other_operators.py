@@ -5,6 +5,7 @@ import random
 
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 
 from linkweave.llm import chat, decontam, license, linedup, mixing, tokens, warc
 from linkweave.llm.common import new_path
@@ -108,6 +109,44 @@ def test_wrapped_licences_in_longer_texts(spark):
     assert got.keys() == {(1, "MIT"), (2, "Apache-2.0")} and min(got.values()) > 0.95
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 0.95])
+def test_each_match_of_a_licence_has_a_key_word(threshold):
+    """The fewest bigrams that a match can share with a template are more than those without a key word."""
+    rows = license.templates()
+    words = set(license.key_words(rows, threshold))
+    bare, sizes = {}, {}
+    for lic, form, size, bigram, n in rows:
+        sizes[lic, form] = size
+        bare[lic, form] = bare.get((lic, form), 0) + n * (not words & set(bigram.split()))
+    for at, b in sizes.items():
+        shared = [s for s in range(1, b + 1) if round(2 * s / (s + b), 6) >= threshold]
+        assert bare[at] < min(shared), at
+
+
+def test_damaged_licences_agree_with_sql(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    rows = [(None, "Released under the MIT License."), (0, None), (1, "licensed"), (2, "a unlicensed b licensedx c"), (3, "\u212aicensed under CC BY 4.0"), (4, "\U0001f600Licensed\x00under-the/MIT\u00a0LICENSE"), (5, "\n \n software \n\n \n")]
+    for _ in range(8):
+        for notice in [x for forms in license.NOTICES.values() for x in forms]:
+            kept = [w for w in notice.split() if rng.random() > rng.choice([0, 0.05, 0.15])]
+            kept = [rng.choice([w, w.upper(), w, f"{w}\u00e9", f"({w}"]) for w in kept]
+            text = "".join(w + rng.choice([" ", " ", " ", " ", "\n", " \n\t", "\r\n", "--"] + ["\n\n"] * (rng.random() < 0.1)) for w in kept)
+            rows.append((len(rows), rng.choice(["", "some prose\n", "more\n\n"]) + text + rng.choice(["", "\nsome more", " x"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    documents = docs.toArrow()
+    con.register("documents", documents)
+    want = con.execute(license.OP3_SQL).fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert len(want) > 200 and order(license.op3_license_scan(docs).collect()) == order(want)
+    table = license.key_words(license.templates())
+    plain = [any(w in table for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t or "").lower().split()) for _, t in rows]
+    found = [r.has for r in docs.select(license.has_word(F.coalesce("text", F.lit("")), table).alias("has")).collect()]
+    assert all(f or not p for f, p in zip(found, plain)) and found[1:4] == [False, True, False]
+
+
 def test_boilerplate_lines_go_and_copies_stay(spark):
     rows = [(i, f"own {i} words of this page here\nSITE NAV\n\nmore {i} of it", f"s{i % 7}") for i in range(14)]
     rows += [(100 + i, "a copied page\nof two lines", f"s{i % 9}") for i in range(9)] + [(200, None, "s1"), (201, "", None), (202, "SITE NAV", None)]
